@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
@@ -55,6 +57,18 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``most`` bytes of a string column, a row at least; bounds what a task holds."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     """A list column from flat values and the number of values in each row."""
     offsets = np.zeros(len(counts) + 1, np.int32)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, table, texts
+from tessera.llm.common import keep, slices, table, texts
 from tessera.llm.tokens import tokenizer_path, with_end, word_cache
 
 SALTS = 64
@@ -122,7 +122,7 @@ def cut(docs: DataFrame, path: str, capacity: int, end: int, doc: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, cache = 0, word_cache(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             flat, counts = with_end(*cache.encode(texts(batch.column(1))), end)
             pieces = -(-counts // capacity)
             owner = np.repeat(np.arange(len(counts)), pieces)

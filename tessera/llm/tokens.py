@@ -8,6 +8,7 @@ its ids are kept, in a bounded cache per Python worker; texts then become ids by
 from __future__ import annotations
 
 import os
+import re
 from itertools import repeat
 
 import numpy as np
@@ -17,6 +18,9 @@ from tessera.llm.common import ragged
 MAX_WORDS = 1_000_000
 CHUNK_BYTES = 4 << 20
 
+#: A word of this form is one or two units of the pre-tokenizer, each of which ends with an end-of-word id.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:#$%&*|]*)")
+
 
 class WordCache:
     """Texts to ids by the tokenizer file at ``path``; ``MAX_WORDS`` distinct words are remembered at most."""
@@ -26,6 +30,9 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        known = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.ends_word[[i for w, i in known.items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -34,11 +41,10 @@ class WordCache:
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def learn(self, unknown: list[bytes]) -> None:
-        for k in range(0, len(unknown), 1 << 15):
-            part = unknown[k : k + (1 << 15)]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            n, first = np.fromiter(map(len, coded), np.int32, len(coded)), len(self.index)
-            flat = np.fromiter((i for ids in coded for i in ids), np.uint32, int(n.sum()))
+        for k in range(0, len(unknown), 1 << 14):
+            part = unknown[k : k + (1 << 14)]
+            part, flat, n = self.code(part)
+            first = len(self.index)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             while first + len(part) > len(self.starts):
@@ -49,6 +55,34 @@ class WordCache:
             self.used += len(flat)
             self.index.update(zip(part, range(first, first + len(part)), strict=True))
 
+    def code(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words in some order, their ids, and the number of ids of each.
+
+        Simple words go through the library as one text, which is several times faster than one by one, and
+        are told apart by the ids that end words.
+        """
+        simple, units, rest = [], [], []
+        for w in words:
+            m = SIMPLE.fullmatch(w.decode())
+            if m:
+                simple.append(w)
+                units.append(2 if m[2] else 1)
+            else:
+                rest.append(w)
+        lines = [b" ".join(simple[k : k + 512]).decode() for k in range(0, len(simple), 512)]
+        coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate([*coded, np.zeros(0, np.uint32)])
+        stop = np.flatnonzero(self.ends_word[flat]) + 1
+        n = np.zeros(0, np.int64)
+        if len(stop) == sum(units):
+            n = np.diff(stop[np.cumsum(units, dtype=np.int64) - 1], prepend=0)
+        else:  # a tokenizer without end-of-word ids
+            rest, simple, flat = words, [], flat[:0]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)]
+        more = np.fromiter(map(len, coded), np.int64, len(coded))
+        own = np.fromiter((i for ids in coded for i in ids), np.uint32, int(more.sum()))
+        return simple + rest, np.concatenate([flat, own]), np.concatenate([n, more])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each."""
         flat, counts, k = [], [], 0
