@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import leaks, packing, ring, viterbi
+from tessera.llm import leaks, packing, rangecoder, ring, simhash, viterbi
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op4_best_fit_packing": packing.query,
         "op5_token_counts": viterbi.query,
         "op8_sharding": ring.query,
+        "op9_simhash_near_dedup": simhash.query,
+        "op10_token_id_output": rangecoder.query,
     }
 
 
