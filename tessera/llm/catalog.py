@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import leaks, packing, rangecoder, ring, simhash, viterbi
+from tessera.llm import leaks, packing, quality, rangecoder, ring, simhash, toxicity, viterbi
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_benchmark_decontamination": leaks.query,
         "op4_best_fit_packing": packing.query,
         "op5_token_counts": viterbi.query,
+        "op6_quality_classifier": quality.query,
+        "op7_toxicity": toxicity.query,
         "op8_sharding": ring.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_token_id_output": rangecoder.query,
