@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import replace_column, slices, table
+from tessera.llm.common import ragged, replace_column, slices, table
 from tessera.llm.labelled import fold, labelled
 from tessera.llm.leaks import words
 
@@ -52,30 +52,42 @@ def sketch(text: list[bytes]) -> int:
     return min((zlib.crc32(b" ".join(text[i : i + 3])) for i in range(max(1, len(text) - 2))), default=0)
 
 
+class Vocabulary:
+    """Numbers for words, and for each word those of its keys in the statistics; compact, as it is on the driver."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.keys: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
+
+    def number(self, text: list[bytes]) -> np.ndarray:
+        out = np.empty(len(text), np.int32)
+        for k, w in enumerate(text):
+            got = self.index.get(w)
+            if got is None:
+                got = self.index[w] = len(self.index)
+                own, prefixes, inner = grams(w)
+                self.flat.extend(self.keys.setdefault(g, len(self.keys)) for g in (own, *prefixes, *inner))
+                self.ends.append(len(self.flat))
+            out[k] = got
+        return out
+
+
 class Lexicon:
     """Log-odds of words and n-grams against the share of toxic documents, shrunk as by ``PRIOR`` more documents
     of that share; nothing for those of few documents.
     """
 
-    def __init__(self, docs: list[set[bytes]], labels: np.ndarray):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        known: dict[bytes, set[str]] = {}
+    def __init__(self, vocabulary: Vocabulary, docs: list[np.ndarray], labels: np.ndarray):
+        flat, ends = np.array(vocabulary.flat, np.int32), np.array(vocabulary.ends, np.int64)
+        seen = np.zeros((2, len(vocabulary.keys)), np.int32)
         for distinct, y in zip(docs, labels.tolist(), strict=True):
-            keys: set[str] = set()
-            for w in distinct:
-                if w not in known:
-                    own, prefixes, inner = grams(w)
-                    known[w] = {own, *prefixes, *inner}
-                keys |= known[w]
-            seen[y].update(keys)
+            seen[y, np.unique(flat[ragged(ends[distinct], ends[distinct + 1] - ends[distinct])])] += 1
         share = (labels.sum() + 1) / (len(labels) + 2)
-        self.odds: dict[str, float] = {}
-        for key, a in seen[1].items():
-            b = seen[0].get(key, 0)
-            if a + b >= SUPPORT:
-                odds = math.log((a + PRIOR * share) / (b + PRIOR * (1 - share))) - math.log(share / (1 - share))
-                if odds > 0:
-                    self.odds[key] = odds / 3
+        b, a = seen
+        odds = np.log((a + PRIOR * share) / (b + PRIOR * (1 - share))) - math.log(share / (1 - share))
+        odds[(a == 0) | (a + b < SUPPORT) | (odds < 0)] = 0
+        self.odds = {key: o / 3 for key, o in zip(vocabulary.keys, odds.tolist(), strict=True) if o > 0}
 
     def inputs(self, word: bytes) -> tuple[float, float, float, float]:
         get = self.odds.get
@@ -185,29 +197,37 @@ class Toxicity:
         self.constant = None if 0 < ones < len(labels) else float(ones > 0)
         if self.constant is not None:
             return
-        docs = [words(t) for t in texts]
-        sets = [set(w) for w in docs]
+        vocabulary, docs, key = Vocabulary(), [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            w = words(t)
+            key[i] = sketch(w)
+            docs.append(vocabulary.number(w))
+        sets = [np.unique(d) for d in docs]
         # copies are on one side, and count once
-        key = np.array([sketch(w) for w in docs])
         half = key // 7 % 2
         once = np.unique(np.stack([key, labels], axis=1), axis=0, return_index=True)[1]
-        x, n = [], np.array([len(w) for w in docs], np.int64)
+        n = np.array([len(d) for d in docs], np.int64)
+        ends = np.cumsum(n)
+        flat = np.zeros((int(n.sum()) + WINDOW, INPUTS), np.float32)
         for k in (0, 1):
-            rows = once[half[once] != k]
-            other = Lexicon([sets[i] for i in rows], labels[rows])
-            known: dict[bytes, tuple] = {}
-            for i in np.flatnonzero(half == k):
-                for w in sets[i]:
-                    if w not in known:
-                        known[w] = other.inputs(w)
-                x.append((int(i), np.array([known[w] for w in docs[i]], np.float32).reshape(-1, INPUTS)))
-        flat = np.concatenate([v for _, v in sorted(x, key=lambda p: p[0])] + [np.zeros((WINDOW, INPUTS), np.float32)])
+            rows, mine = once[half[once] != k], np.flatnonzero(half == k)
+            other = Lexicon(vocabulary, [sets[i] for i in rows], labels[rows])
+            needed = np.zeros(len(vocabulary.index), bool)
+            for i in mine:
+                needed[sets[i]] = True
+            values = np.zeros((len(needed), INPUTS), np.float32)
+            for w, i in vocabulary.index.items():
+                if needed[i]:
+                    values[i] = other.inputs(w)
+            for i in mine:
+                flat[ends[i] - n[i] : ends[i]] = values[docs[i]]
+        del docs
         doc, first, size = windows(n)
         self.network = Network()
         self._train(flat, doc, first, size, labels)
         best = self._best(self._logits(flat, first, size), doc, len(n))
         self.slope, self.shift = self._logistic(best, labels)
-        self.lexicon = Lexicon([sets[i] for i in once], labels[once])
+        self.lexicon = Lexicon(vocabulary, [sets[i] for i in once], labels[once])
 
     def _take(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         step = np.arange(WINDOW)[:, None]
@@ -227,8 +247,8 @@ class Toxicity:
 
     def _train(self, flat: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, labels: np.ndarray) -> None:
         rng, net, step = np.random.default_rng(1), self.network, 0
-        total = np.concatenate([np.zeros((1, INPUTS)), np.cumsum(flat, axis=0)])
-        rank = (total[first + size] - total[first]).sum(axis=1)  # before the first epoch: the sum of inputs
+        total = np.append(0, np.cumsum(flat.sum(axis=1), dtype=np.float64))
+        rank = total[first + size] - total[first]  # before the first epoch: the sum of inputs
         m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
         epoch = 0
         while epoch < EPOCHS or step < STEPS:
