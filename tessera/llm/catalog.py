@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import leaks, packing, quality, rangecoder, ring, simhash, toxicity, viterbi
+from tessera.llm import leaks, packing, parsing, quality, rangecoder, ring, secrets, simhash, toxicity, viterbi
 
 
 def queries():
     return {
         "op1_benchmark_decontamination": leaks.query,
+        "op2_document_fingerprints": parsing.query,
+        "op3_secret_scans": secrets.query,
         "op4_best_fit_packing": packing.query,
         "op5_token_counts": viterbi.query,
         "op6_quality_classifier": quality.query,
