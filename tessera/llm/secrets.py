@@ -108,8 +108,10 @@ def _pairs(strings: DataFrame) -> DataFrame:
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS) -> Column:
     """Log-ratios of character pairs as an array literal, from a sample of at most ``sample`` documents chosen by hash."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.orderBy(F.xxhash64("text"), "text").limit(sample).withColumn("base", base_spans(F.col("text")))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(*docs.columns).alias("h"))
+    # hashes alone choose the sample, so that no task gathers texts of the others; repeated rows are cut by the limit
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = rows.filter(F.col("h") <= F.lit(last).cast("bigint")).limit(sample).withColumn("base", base_spans(F.col("text")))
     value = F.transform("base", lambda s: F.regexp_extract(F.substring("text", s["start"] + 1, s["end"] - s["start"]), "[A-Za-z0-9+/_.=-]+$", 0))
     digest = F.sha2(F.col("id").cast("string"), 256)
     coded = F.base64(F.unhex(digest))
