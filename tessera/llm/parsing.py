@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import keep, slices, table, texts
 
 LEVEL, SKETCH = 2, 64
-CHARS = 1 << 20  # parsed at once
+CHARS = 1 << 18  # parsed at once
 # Odd multipliers of the SplitMix64 finaliser and its increment.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 U = np.uint64
@@ -172,7 +172,7 @@ def _schema() -> pa.Schema:
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held = TaskContext.get().partitionId(), None
-    for batch in slices(batches, 1):
+    for batch in slices(batches, 1, 2 << 20):
         ids, own = batch.column(0).to_pylist(), texts(batch.column(1))
         if not ids:
             continue
