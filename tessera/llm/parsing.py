@@ -128,8 +128,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * j / (1 + j)
 
 
-def as_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def as_bytes(sketch: np.ndarray) -> bytes:
+    return sketch.astype(">u4").tobytes()
 
 
 def edited(text: str, following: str) -> str:
@@ -139,7 +139,7 @@ def edited(text: str, following: str) -> str:
 
 
 ROWS = (
-    "part int, role string, doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "part int, role string, doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double, text string"
 )
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
@@ -152,8 +152,8 @@ def _finished(part: int, ids: list, own: list[str], after: list[str], marks: lis
     other = sketches(changed)
     values = [
         pa.array([part] * len(ids), pa.int32()), pa.array(["row"] * len(ids)), pa.array(ids, pa.int64()), pa.array(map(len, own), pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(map(as_text, marks[: len(ids)])),
-        pa.array(map(as_text, other)), pa.array([likeness(a, b) for a, b in zip(marks, other, strict=False)], pa.float64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(map(as_bytes, marks[: len(ids)]), pa.binary()),
+        pa.array(map(as_bytes, other), pa.binary()), pa.array([likeness(a, b) for a, b in zip(marks, other, strict=False)], pa.float64()),
         pa.array([likeness(a, b) for a, b in zip(marks[:-1], marks[1:], strict=True)], pa.float64()), pa.nulls(len(ids), pa.string()),
     ]
     return pa.RecordBatch.from_arrays(values, NAMES)
@@ -166,7 +166,7 @@ def _border(part: int, role: str, doc_id: int | None, text: str) -> pa.RecordBat
 
 
 def _schema() -> pa.Schema:
-    kinds = {"int": pa.int32(), "string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    kinds = {"int": pa.int32(), "string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ROWS.split(", ")])
 
 
@@ -203,7 +203,8 @@ def compare_with_next(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(F.desc_nulls_last("doc_id"), tie).sortWithinPartitions(F.desc_nulls_last("doc_id"), tie, "text")
     found = keep(ordered.mapInArrow(_ranges, ROWS), "fingerprints")
-    out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    in_hex = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    out = ["doc_id", "n_chars", "edited_sha256", *in_hex, "near_edited", "near_next"]
     done = found.filter("role = 'row'").select(*out)
     filled = sorted(r[0] for r in found.filter("role = 'head'").select("part").collect())  # numbers of ranges
     if not filled:

@@ -19,7 +19,7 @@ def brute(rows):
     for (i, _), t, n in zip(order, texts, after, strict=True):
         e = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
         a, b = mark(t), mark(e)
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), parsing.as_text(a), parsing.as_text(b), parsing.likeness(a, b), parsing.likeness(a, mark(n))))
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), parsing.as_bytes(a).hex(), parsing.as_bytes(b).hex(), parsing.likeness(a, b), parsing.likeness(a, mark(n))))
     return sorted(out, key=repr)
 
 
