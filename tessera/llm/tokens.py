@@ -1,8 +1,9 @@
 """Exact token ids, word by word.
 
 The tokenizer's normaliser and pre-tokenizer never look across white space, so the ids of a text are those of its
-words in a row (words between ASCII white space). Each distinct word goes through the tokenizers library once and
-its ids are kept, in a bounded cache per Python worker; texts then become ids by lookups and one gather.
+words in a row (words between ASCII white space). Distinct words go through the tokenizers library and their
+ids are kept, in a bounded cache per Python worker; texts then become ids by lookups and one gather. A full cache keeps
+the words that it has, and words beyond it are encoded anew for every few megabytes of text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 
 from tessera.llm.common import ragged
 
-MAX_WORDS = 1_500_000
+MAX_WORDS = 600_000
 CHUNK_BYTES = 4 << 20
 
 #: A word of this form is one or two units of the pre-tokenizer, each of which ends with an end-of-word id.
@@ -23,22 +24,19 @@ SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:#$%&*|]*)")
 
 
 class WordCache:
-    """Texts to ids by the tokenizer file at ``path``; ``MAX_WORDS`` distinct words are remembered at most."""
+    """Texts to ids by the tokenizer file at ``path``; ``max_words`` distinct words are remembered at most."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
-        known = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends_word = np.zeros(max(known.values()) + 1, bool)
-        self.ends_word[[i for w, i in known.items() if w.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        known = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.ends_word[[i for w, i in known.items() if w.endswith("</w>")]] = True
 
     def learn(self, unknown: list[bytes]) -> None:
         for k in range(0, len(unknown), 1 << 14):
@@ -93,8 +91,6 @@ class WordCache:
                 rows.append(raw.split())
                 size += len(raw)
                 k += 1
-            if len(self.index) > self.max_words:
-                self.forget()
             n_words = np.fromiter(map(len, rows), np.int64, len(rows))
             ends = np.cumsum(n_words)
             at = np.empty(int(ends[-1]), np.int64)
@@ -102,15 +98,22 @@ class WordCache:
             for row, end in zip(rows, ends.tolist(), strict=True):
                 at[end - len(row) : end] = np.fromiter(map(get, row, repeat(-1)), np.int64, len(row))
             missing = np.flatnonzero(at < 0)
+            known, used, new = len(self.index), self.used, []
             if len(missing):
                 doc = np.searchsorted(ends, missing, "right")
                 lost = [rows[d][m] for d, m in zip(doc.tolist(), (missing - (ends - n_words)[doc]).tolist(), strict=True)]
-                self.learn(list(dict.fromkeys(lost)))
+                new = list(dict.fromkeys(lost))
+                self.learn(new)
                 at[missing] = np.fromiter(map(self.index.__getitem__, lost), np.int64, len(lost))
             n = self.lengths[at]
             flat.append(self.pool[ragged(self.starts[at], n)])
             per = np.concatenate([[0], np.cumsum(n)])
             counts.append(per[ends] - per[ends - n_words])
+            if new and len(self.index) > self.max_words:  # full: the words known so far stay, as the common ones come early
+                for w in new:
+                    del self.index[w]
+                assert len(self.index) == known
+                self.used = used
         if not flat:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate(flat), np.concatenate(counts).astype(np.int64)
