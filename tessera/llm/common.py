@@ -52,6 +52,20 @@ def drop_kept(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+MOST_ROWS = 2500
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most ``MOST_ROWS`` rows, from here on in the session.
+
+    Spark's default of 10,000 would hold tens of megabytes of texts several times over in every task.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= MOST_ROWS:
+        conf.set(name, str(MOST_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Strings of a column; null becomes empty."""
     return [t or "" for t in column.to_pylist()]

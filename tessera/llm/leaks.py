@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import list_array, ragged, replace_column, table
+from tessera.llm.common import list_array, map_texts, ragged, replace_column, table
 
 #: Bytes to bytes: ASCII capitals fall, digits and letters stay, other ASCII separates, the rest of UTF-8 stays.
 WORD_BYTES = bytes(
@@ -204,7 +204,7 @@ def find_leaks(
         last = drop_text and k == len(found) - 1
         fields = [f for f in out.schema.fields if f.name != result and not (last and f.name == text)]
         schema = T.StructType([*fields, T.StructField(result, RESULT)])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(tests), window, text, result, last), schema)
+        out = map_texts(out, _scan(spark.sparkContext.broadcast(tests), window, text, result, last), schema)
     return out
 
 

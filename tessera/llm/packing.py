@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, slices, table, texts
+from tessera.llm.common import keep, map_texts, slices, table, texts
 from tessera.llm.tokens import tokenizer_path, with_end, word_cache
 
 SALTS = 64
@@ -142,7 +142,7 @@ def cut(docs: DataFrame, path: str, capacity: int, end: int, doc: str = "doc_id"
                 ["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
             )
 
-    return docs.select(F.col(doc).cast("bigint"), text).mapInArrow(run, PIECES)
+    return map_texts(docs.select(F.col(doc).cast("bigint"), text), run, PIECES)
 
 
 def pack(docs: DataFrame, *, path: str, capacity: int = 2048, end: int = 0, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, slices, table, texts
+from tessera.llm.common import keep, map_texts, slices, table, texts
 
 LEVEL, SKETCH = 2, 64
 CHARS = 1 << 18  # parsed at once
@@ -202,7 +202,7 @@ def compare_with_next(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(F.desc_nulls_last("doc_id"), tie).sortWithinPartitions(F.desc_nulls_last("doc_id"), tie, "text")
-    found = keep(ordered.mapInArrow(_ranges, ROWS), "fingerprints")
+    found = keep(map_texts(ordered, _ranges, ROWS), "fingerprints")
     in_hex = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
     out = ["doc_id", "n_chars", "edited_sha256", *in_hex, "near_edited", "near_next"]
     done = found.filter("role = 'row'").select(*out)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import replace_column, table
+from tessera.llm.common import map_texts, replace_column, table
 from tessera.llm.labelled import fold, labelled
 
 SAMPLE = 20_000
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
             values = pa.array([features(t) for t in text.to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([ids, values, y], ["doc_id", "x", "label"])
 
-    rows = labelled(docs, labels, label, bound).mapInArrow(run, "doc_id bigint, x array<double>, label int")
+    rows = map_texts(labelled(docs, labels, label, bound), run, "doc_id bigint, x array<double>, label int")
     got = rows.limit(2 * bound).collect()  # more rows than labels only where ids repeat
     got.sort(key=lambda r: (r.doc_id, r.label, r.x))
     return Additive(np.array([r.x for r in got]).reshape(-1, len(NAMES)), np.array([r.label for r in got], np.float64))
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Additive, text: str = "text", column: str = "s
             batch = replace_column(batch, column, pa.array(sent.value.score(x.reshape(-1, len(NAMES)))))
             yield batch.drop_columns([text]) if drop_text else batch
 
-    return out.mapInArrow(run, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
+    return map_texts(out, run, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, slices, table, texts
+from tessera.llm.common import keep, map_texts, slices, table, texts
 from tessera.llm.tokens import tokenizer_path, with_end, word_cache
 
 MAGIC, VERSION = b"TSID", 1
@@ -330,7 +330,7 @@ def write_ids(docs: DataFrame, *, path: str, end: int, doc: str = "doc_id", text
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id"), tie).sortWithinPartitions(F.asc_nulls_first("doc_id"), tie, "text")
-    return keep(ordered.mapInArrow(run, "part int, seq int, n_ids bigint, image binary"), "ids")
+    return keep(map_texts(ordered, run, "part int, seq int, n_ids bigint, image binary"), "ids")
 
 
 def read_ids(images: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_kept, keep, slices, table, texts
+from tessera.llm.common import drop_kept, keep, map_texts, slices, table, texts
 
 SHINGLE, SEED, MOST = 3, 42, 3
 BLOCK = 4096
@@ -240,7 +240,7 @@ def roots(edges: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``text_hash`` and ``fp`` (the fingerprint's bits as a bigint) of every row, as a kept table."""
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return keep(rows.mapInArrow(_fingerprints, "doc_id bigint, text_hash bigint, fp bigint"), "fingerprints")
+    return keep(map_texts(rows, _fingerprints, "doc_id bigint, text_hash bigint, fp bigint"), "fingerprints")
 
 
 def components(marks: DataFrame) -> DataFrame:

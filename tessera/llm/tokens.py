@@ -16,7 +16,7 @@ import numpy as np
 
 from tessera.llm.common import ragged
 
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 CHUNK_BYTES = 4 << 20
 
 #: A word of this form is one or two units of the pre-tokenizer, each of which ends with an end-of-word id.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ragged, replace_column, slices, table
+from tessera.llm.common import map_texts, ragged, replace_column, slices, table
 from tessera.llm.labelled import fold, labelled
 from tessera.llm.leaks import words
 
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text", column: str = "s
             batch = replace_column(batch, column, pa.array(sent.value.score(batch.column(place).to_pylist()), pa.float64()))
             yield batch.drop_columns([text]) if drop_text else batch
 
-    return out.mapInArrow(run, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
+    return map_texts(out, run, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
 
 
 def query(spark, sf_dir):

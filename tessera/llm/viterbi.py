@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import replace_column, table
+from tessera.llm.common import map_texts, replace_column, table
 from tessera.llm.tokens import tokenizer_path
 
 SPACE = "▁"
@@ -119,7 +119,7 @@ def count_tokens(docs: DataFrame, *, path: str, text: str = "text", drop_text: b
             batch = replace_column(batch, "best_score", pa.array(np.array([g[1] for g in got], np.float64)))
             yield batch.drop_columns([text]) if drop_text else batch
 
-    return out.mapInArrow(run, schema)
+    return map_texts(out, run, schema)
 
 
 def query(spark, sf_dir):
