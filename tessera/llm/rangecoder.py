@@ -34,7 +34,8 @@ from tessera.llm.common import keep, map_texts, slices, table, texts
 from tessera.llm.tokens import tokenizer_path, with_end, word_cache
 
 MAGIC, VERSION = b"TSID", 1
-BLOCK, SLOTS, LANES, CONTEXTS, GROUP = 8192, 4096, 1024, 4096, 64
+BLOCK, SLOTS, LANES, CONTEXTS, GROUP = 8192, 2048, 1024, 2048, 64
+UNKNOWN = 0xFFFF  # in a table of contexts; it predicts itself, which is as good as any other id
 SHARE_BITS = 8
 U = np.uint64
 WORD, HALF = U(1 << 32), U(32)
@@ -51,8 +52,8 @@ class Model:
 
     def __init__(self, lanes: int):
         self.lanes, self.row = lanes, np.arange(lanes)[:, None]
-        self.one = np.full(lanes * CONTEXTS, -1, np.int32)
-        self.two = np.full(lanes * CONTEXTS, -1, np.int32)
+        self.one = np.full(lanes * CONTEXTS, UNKNOWN, np.uint16)
+        self.two = np.full(lanes * CONTEXTS, UNKNOWN, np.uint16)
         self.right = np.tile(np.array([4, 4, 8, 4], np.int64), (lanes, 4, 1))  # by known contexts: firsts to be right
         self.bits = 0
         self.renew_shares()
@@ -123,7 +124,7 @@ def encode_lanes(ids: np.ndarray) -> list[np.ndarray]:
             x, row = back[:, 2:], model.row
             at1, at2 = model.contexts(back[:, 1:-1], back[:, :-2], row)
             one, two = model.one.take(at1), model.two.take(at2)
-            state = (one >= 0) + 2 * (two >= 0)
+            state = (one != UNKNOWN) + 2 * (two != UNKNOWN)
             first = np.where(two == x, 0, np.where(one == x, 1, 3))
             a, w = x, np.ones_like(x)
             if model.bits:
@@ -176,66 +177,63 @@ def decode_lanes(words: list[np.ndarray], n: int) -> np.ndarray:
     model = Model(lanes)
     before = np.zeros(lanes, np.int64)
     mixed = before * 1021
-    lane_contexts, lane_states, v = row * CONTEXTS, (row * 4) << SHARE_BITS, np.empty(lanes, U)
+    lane_contexts, lane_states, mask = row * CONTEXTS, row * 4, CONTEXTS - 1
     cut = borders(n)
+    # ``code`` is relative to the low end; indices of a sound stream are in bounds, those of a damaged one are clipped
     for begin, end in zip(cut[:-1], cut[1:], strict=True):
         k = end - begin
-        states, firsts, found = np.empty((k, lanes), np.int8), np.empty((k, lanes), np.int8), np.empty((k, lanes), np.uint16)
-        starts, shares = model.start.astype(U), model.share.astype(U)
-        ends = (model.start + model.share).reshape(-1, 4, 1)
-        slot = np.arange(1 << SHARE_BITS)
-        chosen = ((slot >= ends[:, 0]).view(np.int8) + (slot >= ends[:, 1]) + (slot >= ends[:, 2])).astype(np.int8).ravel()
-        shifts, bits = np.array([0, 0, model.bits, 16], U), model.bits
-        most = np.array([0, 0, (1 << bits) - 1, 0xFFFF], U)
+        states, firsts, found = np.empty((k, lanes), np.int64), np.empty((k, lanes), np.uint8), np.empty((k, lanes), np.uint16)
+        # prediction, start and share of every slot of the shares in one number
+        share = model.share.reshape(-1, 4)
+        packed = (np.arange(4) | model.start.reshape(-1, 4) << 2 | share << 11).astype(np.int32)
+        chosen = np.repeat(packed.ravel(), share.ravel())
+        bits = model.bits
+        shifts = np.array([0, 0, bits, 16], U)
         if bits:
-            # value, low end and width of every slot in one number
+            # value, low end and width of every slot of the sample in one number
             run = model.value.astype(U) | (model.low.astype(U) << U(16)) | (model.width.astype(U) << HALF)
-            spots = np.repeat(run, model.n)
-            lane_slots = row << bits
+            spots, lane_slots = np.repeat(run, model.n), row << bits
         for t in range(k):
-            one = model.one.take((before & (CONTEXTS - 1)) + lane_contexts)
-            two = model.two.take(((before * 31 + mixed) & (CONTEXTS - 1)) + lane_contexts)
-            state = (one >> 31) + 2 * (two >> 31) + 3
+            one = model.one.take((before & mask) + lane_contexts)
+            two = model.two.take(((before * 31 + mixed) & mask) + lane_contexts)
+            state = states[t]
+            np.add(lane_states, one != UNKNOWN, out=state)
+            state += (two != UNKNOWN).view(np.int8) << 1
             r = span >> U(SHARE_BITS)
-            code -= low  # from here relative to the low end
-            np.floor_divide(code, r, out=v)
-            np.minimum(v, U((1 << SHARE_BITS) - 1), out=v)
-            first = chosen.take(lane_states + (state << SHARE_BITS) + v.view(np.int64))
-            key = (lane_states >> (SHARE_BITS - 2)) + (state << 2) + first
-            down = starts.take(key) * r
-            r *= shares.take(key)
-            np.right_shift(r, shifts.take(first), out=r)
-            np.floor_divide(code - down, r, out=v)
-            np.minimum(v, most.take(first), out=v)
-            x = v.astype(np.int64)
-            f2 = 1
+            at = chosen.take((state << SHARE_BITS) + (code // r).view(np.int64), mode="clip")
+            first = at & 3
+            down = (at >> 2 & 511) * r.view(np.int64)
+            r *= (at >> 11).view(np.uint32)
+            r >>= shifts.take(first)
+            code -= down.view(U)
+            v = code // r
+            x = v.view(np.int64).copy()
+            span = r
             if bits:
-                i = np.flatnonzero(first == 2)
-                if len(i):
-                    spot = spots.take(lane_slots[i] + x[i])
-                    x[i] = spot & U(0xFFFF)
-                    v[i] = (spot >> U(16)) & U(0xFFFF)
-                    f2 = np.ones(lanes, U)
-                    f2[i] = spot >> HALF
-            early = first < 2
-            if early.any():
-                np.copyto(x, np.where(first == 0, two, one), where=early)
-                v[early] = 0
-            down += v * r
-            code += low  # absolute again
-            low += down
-            span = r * f2
+                spot = spots.take(lane_slots + x, mode="clip")
+                sampled = first == 2
+                np.copyto(x, (spot & U(0xFFFF)).view(np.int64), where=sampled)
+                np.copyto(v, spot >> U(16) & U(0xFFFF), where=sampled)
+                span = r * np.where(sampled, spot >> HALF, U(1))
+            np.copyto(x, one, where=first == 1)
+            np.copyto(x, two, where=first == 0)
+            v *= r
+            code -= v
+            v += down.view(U)
+            low += v
             i = np.flatnonzero(span < WORD)
             if len(i):
                 _renorm(low, span, i)
-                code[i] = (code[i] << HALF) | feed.take(np.minimum(pos[i], stop[i]))
-                pos[i] += 1
-            found[t], states[t], firsts[t] = x, state, first
+                p = pos[i]
+                code[i] = (code[i] << HALF) | feed.take(np.minimum(p, stop[i]))
+                pos[i] = p + 1
+            found[t], firsts[t] = x, first
             mixed = before * 1021
             before = x & 0xFFFF
+        states -= lane_states
         ids[:, begin + 2 : end + 2] = found.T
         back = ids[:, begin : end + 2].astype(np.int64)
-        model.learn(back, states.T.astype(np.int64), firsts.T.astype(np.int64), ids[:, 2 : end + 2])
+        model.learn(back, states.T, firsts.T.astype(np.int64), ids[:, 2 : end + 2])
     return ids[:, 2:]
 
 

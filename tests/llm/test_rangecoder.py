@@ -13,7 +13,7 @@ PATH = tokenizer_path("word_bpe_49k.json")
 
 
 @pytest.mark.parametrize(
-    ("n", "high"), [(0, 1), (1, 65536), (2, 1), (257, 5), (300, 49408), (8192, 3), (8193, 70000), (20000, 200), (2 * 8192 + 100, 2**32 - 1)]
+    ("n", "high"), [(0, 1), (1, 65536), (2, 1), (257, 5), (300, 49408), (8192, 3), (8193, 70000), (20000, 200), (2 * 8192 + 100, 2**32 - 1), (9000, 65536)]
 )
 def test_round_trip(n, high):
     rng = np.random.default_rng(n)
