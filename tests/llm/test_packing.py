@@ -41,6 +41,17 @@ def valid(rows, capacity):
     return len(seqs)
 
 
+@pytest.mark.parametrize("most", [400_000, 3])
+def test_case_marks_and_special_tokens(most):
+    cache, library = WordCache(PATH, most), Tokenizer.from_file(PATH)
+    cases = ["", " ", "\ta  b\n", "Word word WORD, word,!", "École école ÉCOLE, ß, ÿ.", "<|ENDOFTEXT|> A <|endoftext|>, B", "a.b,, 10#, K9 --,", "don't DON'T,", "ΑΣ, İx ﬁ, A\u030a", "\u3000x\u2028y\x1cz"]
+    ids, counts = cache.encode(cases + cases[::-1])
+    at = 0
+    for text, n in zip(cases + cases[::-1], counts, strict=True):
+        assert ids[at : at + n].tolist() == library.encode(text, add_special_tokens=False).ids, text
+        at += n
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_is_valid_and_tight(seed):
     rng = np.random.default_rng(seed)
