@@ -3,9 +3,10 @@
 A word's inputs are what the labelled rows say about it: the shrunk log-odds of the word itself (word input), and of
 its prefixes and inner character n-grams (character inputs; the largest of each, and the inner mean). While the network is
 trained, the rows of one half take these statistics from the other half, so it learns how far to trust them.
-The network reads windows of ``WINDOW`` words every ``STRIDE`` words. It is trained on windows: for a toxic
+The network reads windows of ``WINDOW`` words every ``STRIDE`` words, so every passage of up to ``WINDOW - STRIDE + 1``
+words (25) lies whole in one. It is trained on windows: for a toxic
 document the one it scores highest counts as toxic, chosen anew each epoch. A document's score is a logistic of its
-highest window, fitted on the same rows. All overlapping windows of every whole text are scored.
+highest window, fitted on the same rows. Every whole text is scored, in overlapping windows.
 
 Training takes at most ``SAMPLE`` labelled rows, on the driver; scoring is one narrow pass. Inputs of distinct words
 are kept in a bounded cache per worker.
@@ -34,7 +35,7 @@ from tessera.llm.labelled import fold, labelled
 from tessera.llm.leaks import words
 
 SAMPLE = 6_000
-WINDOW, STRIDE, HIDDEN, INPUTS = 24, 16, 8, 4
+WINDOW, STRIDE, HIDDEN, INPUTS = 32, 8, 8, 4
 PREFIXES, INNER, SUPPORT, PRIOR = (3, 4, 5, 6), 4, 3, 6
 EPOCHS, STEPS, BATCH, LEARNING_RATE, NEGATIVES = 8, 400, 256, 0.01, 8
 MAX_WORDS, CHUNK = 1_000_000, 8192

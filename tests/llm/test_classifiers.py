@@ -81,6 +81,15 @@ def test_windows_cover_every_word(sizes):
         assert len(seen) == m and (doc == k).any()
 
 
+@pytest.mark.parametrize("size", [10, 17, 24, 25])
+def test_every_passage_lies_whole_in_a_window(size):
+    n = np.array([200, 61, 25])
+    _, first, length = toxicity.windows(n)
+    for start, m in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+        for at in range(start, start + m - size + 1):
+            assert ((first <= at) & (at + size <= first + length)).any(), (at, size)
+
+
 def test_scores_take_the_highest_window_of_whole_texts():
     good = " ".join(f"word{k % 97}" for k in range(3000))
     texts = [f"some text number {k} here {'idiot fool' if k % 3 == 0 else 'kind folk'} and more" for k in range(240)]
