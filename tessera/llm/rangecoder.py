@@ -3,7 +3,7 @@
 Ids are cut into blocks of ``BLOCK`` that are coded independently, each with a fresh model and a CRC of its ids. The
 model of a block mixes four predictions for the next id: the id that last followed the two ids before it (order 2),
 the id that last followed the one before it (order 1), the frequencies of ids so far in the block (order 0, a
-sorted sample of at most ``SLOTS`` of them), and all ids alike. Each has a share of the code range, which follows from
+at most ``SLOTS`` of them, which is all at every border), and all ids alike. Each has a share of the code range, which follows from
 how often it was the first to be right so far, given which of the two contexts are known; the coder takes the
 first prediction that holds the id. Shares, contexts and sample are renewed at the borders in ``borders``: both sides know
 everything up to there.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import keep, map_texts, slices, table, texts
 from tessera.llm.tokens import tokenizer_path, with_end, word_cache
 
-MAGIC, VERSION = b"TSID", 1
-BLOCK, SLOTS, LANES, CONTEXTS, GROUP = 8192, 2048, 1024, 2048, 64
+MAGIC, VERSION = b"TSID", 2  # images of other tables can't be read
+BLOCK, SLOTS, LANES, CONTEXTS, GROUP = 8192, 4096, 1024, 4096, 64
 UNKNOWN = 0xFFFF  # in a table of contexts; it predicts itself, which is as good as any other id
 SHARE_BITS = 8
 U = np.uint64

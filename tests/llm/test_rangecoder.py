@@ -29,6 +29,15 @@ def test_it_compresses():
     assert len(rc.encode_image([1], np.array([len(ids)]), ids)) < len(ids) * 2 / 8
 
 
+def test_order_0_counts_all_ids_at_every_border():
+    ids = np.random.default_rng(3).permutation(4096).astype(np.uint16)[None]
+    for end in rc.borders(rc.BLOCK)[1:-1]:
+        model = rc.Model(1)
+        back = np.concatenate([np.zeros((1, 2), np.int64), ids[:, :end]], axis=1)
+        model.learn(back, np.zeros((1, end), np.int64), np.zeros((1, end), np.int64), ids[:, :end])
+        assert model.value.tolist() == sorted(ids[0, :end].tolist()) and (model.n == 1).all()
+
+
 def test_damage_is_found():
     ids = np.random.default_rng(0).integers(0, 49408, 9000).astype(np.uint32)
     image = bytearray(rc.encode_image([1], np.array([9000]), ids))
