@@ -6,7 +6,8 @@ labels of which neighbours differ, and a phrase begins at every local maximum of
 on a few symbols around it, so equal substrings have equal phrases inside, wherever they stand. A phrase's name is
 a hash of its symbols' names.
 
-A fingerprint is a bottom-k sketch of the phrase names of level ``LEVEL``: the ``SKETCH`` smallest 32-bit hashes in
+A fingerprint is a bottom-k sketch of the phrase names of level ``LEVEL``, each with its number among equal ones, so that repeats
+count (but a run of one symbol is one phrase, however long: of a text that repeats one or two characters, nothing is kept): the ``SKETCH`` smallest 32-bit hashes in
 hex, ascending (all of them if there are fewer). The likeness of two is 2J / (1 + J) for the estimated share J of
 phrases that both have, so a text that keeps two thirds of another's is about 0.67 like it.
 
@@ -96,6 +97,20 @@ def signatures(batch: list[str], level: int = LEVEL) -> tuple[np.ndarray, np.nda
     return names, owner
 
 
+def counted(marks: np.ndarray) -> np.ndarray:
+    """Owners and short names (32 bits each) in order; the second and later of equal ones get names of their own, by occurrence."""
+    marks = np.sort(marks)
+    fresh = np.ones(len(marks), bool)
+    fresh[1:] = marks[1:] != marks[:-1]
+    begin = np.flatnonzero(fresh)
+    nth = np.arange(len(marks)) - np.repeat(begin, np.diff(begin, append=len(marks)))
+    again = np.flatnonzero(nth)
+    if len(again):
+        name = marks[again] & U(0xFFFFFFFF)
+        marks[again] = (marks[again] ^ name) | (mix(name | nth[again].astype(U) << U(32)) >> U(32))
+    return np.unique(marks)
+
+
 def sketches(batch: list[str]) -> list[np.ndarray]:
     """Bottom-k sketches of the texts."""
     out: list[np.ndarray] = []
@@ -107,7 +122,7 @@ def sketches(batch: list[str]) -> list[np.ndarray]:
             size += len(batch[k])
             k += 1
         names, owner = signatures(part)
-        both = np.unique((owner.astype(U) << U(32)) | (names >> U(32)))
+        both = counted((owner.astype(U) << U(32)) | (names >> U(32)))
         ends = np.searchsorted(both, np.arange(1, len(part) + 1, dtype=U) << U(32))
         low, begin = both.astype(np.uint32), 0
         for end in ends.tolist():

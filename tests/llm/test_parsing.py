@@ -67,6 +67,13 @@ def test_likeness():
     assert abs(parsing.likeness(*parsing.sketches([x, y])) - 2 / 3) < 0.15
 
 
+@pytest.mark.parametrize("unit", ["Word ", "same line of text here\n", "the quick brown fox "])
+def test_repeats_count(unit):
+    text = (unit * 2000)[:12000]
+    other = " ".join(f"w{k * 7919 % 10007}" for k in range(2000))
+    assert abs(parsing.likeness(*parsing.sketches([text, parsing.edited(text, other)])) - 2 / 3) < 0.15
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = parsing.query(spark, sf_dir).collect()
