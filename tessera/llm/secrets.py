@@ -2,8 +2,9 @@
 
 Base kinds come from patterns: ``assign`` (a key word, a sign and a value of 12 or more characters), ``access``
 (``AKIA...`` of 18 or more) and ``hex`` (16 or more lower-case hex digits). Two first-order Markov models of characters
-add the kind ``random``: runs of 20 or more token characters whose mean log-likelihood ratio per character, random
-strings against ordinary identifiers, exceeds ``THRESHOLD``, unless they overlap a base span.
+add the kind ``random``: runs of 12 or more token characters, or what base spans leave of them, whose mean log-likelihood ratio
+per character, random strings against ordinary identifiers, exceeds ``THRESHOLD``, or more for less than 20 characters, which must not be letters of one case alone. Where a run
+does not, its pieces between ``/``, ``_``, ``=`` and ``-`` are scored by the same rule.
 
 Both models are trained from labelled samples: random strings are values of base spans in a bounded sample of documents and
 digests in several alphabets; ordinary ones are the sample's words elsewhere, alone and joined as identifiers. What
@@ -33,7 +34,10 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
-TOKEN = r"(?<![\p{L}\p{N}+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![\p{L}\p{N}])"
+TOKEN = r"(?<![\p{L}\p{N}+/_=-])[A-Za-z0-9+/_=-]{12,}+(?![\p{L}\p{N}])"
+PIECE = r"(?<![\p{L}\p{N}+])[A-Za-z0-9+]{12,}+(?![\p{L}\p{N}])"
+LEAST_TOKEN, FULL_TOKEN = 12, 20
+WORD = "^([A-Z]+|[A-Za-z][a-z]+)$"  # such short tokens are words, in capitals too
 
 SAMPLE_DOCS, SAMPLE_DIGESTS, THRESHOLD = 400, 2000, 1.0
 SYMBOLS = 128
@@ -93,10 +97,32 @@ def log_ratio(token: Column, ratios: Column) -> Column:
 
 
 def _added(text: Column, base: Column, ratios: Column) -> Column:
-    spans = _located(text, TOKEN, 3)
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    return F.filter(spans, lambda s: apart(s) & (log_ratio(token(s), ratios) > THRESHOLD))
+    least = lambda s: F.lit(THRESHOLD) * F.sqrt(F.greatest(F.lit(1.0), FULL_TOKEN / (s["end"] - s["start"])))
+    apart = lambda s, others: ~F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    span = lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))
+
+    def rest(s: Column) -> Column:
+        """The parts of a span outside the base spans, which come by start."""
+        zero = F.struct(s["start"].alias("at"), F.array().cast(SPANS).alias("out"))
+
+        def step(acc: Column, b: Column) -> Column:
+            before = F.concat(acc["out"], F.array(span(acc["at"], b["start"])))
+            out = F.when(acc["at"] < b["start"], before).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+        hit = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return F.aggregate(hit, zero, step, lambda acc: F.concat(acc["out"], F.array(span(acc["at"], s["end"]))))
+
+    def mixed(s: Column) -> Column:
+        return (s["end"] - s["start"] >= FULL_TOKEN) | ~F.regexp_like(token(s), F.lit(WORD))
+
+    def scored(pattern: str) -> Column:
+        parts = F.flatten(F.transform(_located(text, pattern, 3), rest))
+        return F.filter(parts, lambda s: F.when(s["end"] - s["start"] >= LEAST_TOKEN, mixed(s) & (log_ratio(token(s), ratios) > least(s))).otherwise(False))
+
+    both = F.transform(F.array(F.struct(scored(TOKEN).alias("runs"), scored(PIECE).alias("pieces"))), lambda f: F.concat(f["runs"], F.filter(f["pieces"], lambda s: apart(s, f["runs"]))))
+    return both[0]
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
