@@ -1,21 +1,23 @@
-"""Token-id files, compressed by a context-mixing range coder.
+"""Token-id files, compressed by an adaptive context-mixing range coder.
 
-Ids are cut into blocks of ``BLOCK`` that are coded independently, each with a fresh model and a CRC of its ids. The
-model of a block mixes four predictions for the next id: the id that last followed the two ids before it (order 2),
-the id that last followed the one before it (order 1), the frequencies of ids so far in the block (order 0, a
-at most ``SLOTS`` of them, which is all at every border), and all ids alike. Each has a share of the code range, which follows from
-how often it was the first to be right so far, given which of the two contexts are known; the coder takes the
-first prediction that holds the id. Shares, contexts and sample are renewed at the borders in ``borders``: both sides know
-everything up to there.
+Ids are cut into blocks of at most ``LANES * BLOCK`` ids that are coded independently, each with a fresh model and a CRC
+of its ids. A block lies in lanes, runs of at most ``BLOCK`` ids, which step forward side by side as numpy arrays and
+share the block's model; every lane has a range coder of its own.
 
-Blocks run side by side as lanes of numpy arrays, so the coder's sequential part costs a few array
-operations per position of ``LANES`` blocks.
+The model mixes three predictions for the next id: the exact counts of all ids of the block so far (order 0), the id that
+the one before it leads to (order 1), and the id that the two before it lead to (order 2). Every context keeps one id and
+how far it can be trusted. The probability of an id is the weighted sum of what the three give it, so nothing is lost
+where they agree. The weights follow the hit rates of both guesses, apart for every pair of trusts and for
+whether both name the same id. Order 0 leaves a rest of the scale, sized by the number of ids seen once, to ids that the
+block hasn't held. Counts, contexts and weights are renewed at the ``borders``, where both sides know every lane up to there,
+so no step of a lane waits for another lane.
 
-The carry-less range coder has a 64-bit low end and range, and moves 32-bit words.
+All of it is in integers. The carry-less range coder has a 64-bit low end and range, and moves 32-bit words.
 
 A file image (little-endian): the magic, u16 version, u16 planes, u32 documents, u64 ids, u32 bytes of the directory;
 the directory (zlib: i64 document ids, u8 null flags, u32 ids of each document); u32 CRC of all before; then per
-plane (16 bits of the ids) and block: u32 ids, u32 words, u32 CRC of the plane's u16 values, and the words.
+plane (16 bits of the ids) and block: u32 ids, u32 bound of the plane's values, u32 CRC of its u16 values, a u16 number of
+words for each lane, and the words.
 """
 
 from __future__ import annotations
@@ -33,217 +35,235 @@ from pyspark.sql import functions as F
 from tessera.llm.common import keep, map_texts, slices, table, texts
 from tessera.llm.tokens import tokenizer_path, with_end, word_cache
 
-MAGIC, VERSION = b"TSID", 2  # images of other tables can't be read
-BLOCK, SLOTS, LANES, CONTEXTS, GROUP = 8192, 4096, 1024, 4096, 64
-UNKNOWN = 0xFFFF  # in a table of contexts; it predicts itself, which is as good as any other id
-SHARE_BITS = 8
-U = np.uint64
+MAGIC, VERSION = b"TSID", 3  # images of other tables can't be read
+BLOCK, LANES = 1024, 2048  # ids of a lane, lanes of a block
+IMAGE = 4 * LANES * BLOCK  # ids of an image, about
+LEAST_LANE = 512  # ids of a lane, where a block is too small for all lanes
+PERIOD = 8  # ids of a lane between borders
+SCALE_BITS, SHARE_BITS, TRUST, FINE = 22, 8, 8, 6
+SCALE, TOTAL_BITS, SHARES = 1 << SCALE_BITS, SCALE_BITS + SHARE_BITS, 1 << SHARE_BITS
+U, I = np.uint64, np.int32
 WORD, HALF = U(1 << 32), U(32)
-STEP = 128  # positions whose numbers are widened at once
+GUESS, NINE, THREE = I(0xFFFF), I(511), I(3)
 
 
 def borders(n: int) -> list[int]:
-    """Where the model is renewed: 0, 256, doubling to 4096, then every 4096 ids."""
-    return [b for b in (0, 256, 512, 1024, 2048, *range(4096, BLOCK, 4096)) if b < n] + [n]
+    """Where the model is renewed: 0, 1, doubling to ``PERIOD``, then every ``PERIOD`` ids of a lane."""
+    early = [0, *(1 << k for k in range(PERIOD.bit_length() - 1))]
+    return [b for b in (*early, *range(PERIOD, n, PERIOD)) if b < n] + [n]
 
 
 class Model:
-    """The model of several lanes; it knows their ids up to the last border."""
-
-    def __init__(self, lanes: int):
-        self.lanes, self.row = lanes, np.arange(lanes)[:, None]
-        self.one = np.full(lanes * CONTEXTS, UNKNOWN, np.uint16)
-        self.two = np.full(lanes * CONTEXTS, UNKNOWN, np.uint16)
-        self.right = np.tile(np.array([4, 4, 8, 4], np.int64), (lanes, 4, 1))  # by known contexts: firsts to be right
-        self.bits = 0
-        self.renew_shares()
-
-    def renew_shares(self) -> None:
-        share = self.right * ((1 << SHARE_BITS) - 4) // self.right.sum(axis=2, keepdims=True) + 1
-        share[:, :, 3] = (1 << SHARE_BITS) - share[:, :, :3].sum(axis=2)
-        self.share = share.ravel()
-        self.start = (np.cumsum(share, axis=2) - share).ravel()
-
-    def contexts(self, before: np.ndarray, before2: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the order-1 and order-2 contexts in their tables."""
-        lane = row * CONTEXTS
-        return (before & (CONTEXTS - 1)) + lane, ((before * 31 + before2 * 1021) & (CONTEXTS - 1)) + lane
-
-    def learn(self, back: np.ndarray, state: np.ndarray, first: np.ndarray, known: np.ndarray) -> None:
-        """Take in the ids ``back[:, 2:]`` (two earlier ones lead), coded in ``state`` by prediction ``first``;
-        ``known`` are all ids up to here.
+    """The model of a block of so many lanes with values below ``high``; it knows them up to the last border."""
+
+    def __init__(self, lanes: int, high: int = 1 << 16):
+        self.high, self.count, self.every = high, np.zeros(high, np.int64), np.arange(high, dtype=I)
+        self.mask = (1 << min(19, max(12, (BLOCK // 4 * lanes - 1).bit_length()))) - 1
+        # the id that a context leads to, and above it the trust: 0 for a context not seen yet
+        self.one, self.two = np.zeros(1 << 16, I), np.zeros(self.mask + 1, I)
+        # per state: how often neither guess, that of order 1, that of order 2, or both were right
+        self.right = np.tile(np.array([4, 1, 1, 0], np.int64), (2 * TRUST * TRUST, 1))
+        self.right[1::2] = [2, 0, 0, 2]
+        self.renew()
+
+    @property
+    def value(self) -> np.ndarray:
+        """The ids so far, ascending."""
+        return np.flatnonzero(self.count)
+
+    @property
+    def n(self) -> np.ndarray:
+        """How often each of ``value`` came."""
+        return self.count[self.value]
+
+    def renew(self) -> None:
+        """Order 0 as places on a scale, and the shares of the mixture, from the counts.
+
+        Seen ids come first on the scale, by their counts; all ids alike share the rest, which is as much as ids
+        seen once make up.
         """
-        one, two = self.contexts(back[:, 1:-1], back[:, :-2], self.row)
-        self.one[one] = back[:, 2:]  # of equal contexts the last counts
-        self.two[two] = back[:, 2:]
-        seen = np.bincount(((self.row * 4 + state) * 4 + first).ravel(), minlength=16 * self.lanes)
-        self.right += seen.reshape(-1, 4, 4)
-        self.renew_shares()
-        end = known.shape[1]
-        slots = 1 << (min(end, SLOTS).bit_length() - 1)
-        sample = np.sort(known[:, (np.arange(slots) * end) // slots].astype(np.uint16), axis=1, kind="stable")
-        fresh = np.ones((self.lanes, slots + 1), bool)
-        fresh[:, 1:-1] = sample[:, 1:] != sample[:, :-1]
-        runs = np.flatnonzero(fresh[:, :-1])
-        ends = np.flatnonzero(fresh[:, 1:]) + 1
-        n = (ends - runs).astype(np.int32)
-        self.low, self.width = (runs % slots).astype(np.int32), n
-        self.lane, self.value, self.n = runs // slots, sample.ravel()[runs], n
-        self.bits, self.sample = slots.bit_length() - 1, sample
+        seen = np.flatnonzero(self.count)
+        n = self.count[seen]
+        total, once = int(n.sum()), int(np.count_nonzero(n == 1)) + 1
+        self.width = max(1, (SCALE - self.high) * once // (total + once) // self.high)
+        self.end = SCALE - self.width * self.high if total else 0
+        if not total:
+            self.width = SCALE // self.high
+        self.seen = seen
+        before = np.append(0, np.cumsum(n))
+        at = np.arange(len(before))
+        self.start = at + before * (self.end - len(seen)) // max(1, total)
+        self.low, self.wide = self.every * I(self.width) + I(self.end), np.full(self.high, self.width, I)  # by id
+        self.low[seen], self.wide[seen] = self.start[:-1], np.diff(self.start)
+        share = self.right.copy()
+        share = 1 + share[:, 1:] * (SHARES - 6) // share.sum(axis=1, keepdims=True)
+        share[0::2, 2], share[1::2, :2] = 0, 0  # guesses that differ can't be right both; one that both name counts for order 2
+        share[:, 1] += share[:, 2]
+        self.share = (share[:, 0] | share[:, 1] << 9 | (SHARES - share[:, 0] - share[:, 1]) << 18).astype(I)
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """The ids at places of the scale."""
+        some = self.seen.take(self.start.searchsorted(at, "right") - 1, mode="clip") if len(self.seen) else at
+        return np.where(at < self.end, some, np.minimum((at - self.end) // self.width, self.high - 1))
+
+    def context(self, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+        """Places of order-2 contexts."""
+        return (before * 40503 + before2 * 9176 + (before >> 5)) & self.mask
+
+    def mix(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Both guesses, the state of trust in them, and the mixture: parts of orders 1 and 2, and a factor of order 0."""
+        guess1, guess2 = one & GUESS, two & GUESS
+        state = ((one >> I(16)) * I(TRUST) + (two >> I(16))) * I(2) + (guess1 == guess2)
+        share = self.share.take(state)
+        return guess1, guess2, state, (share & NINE) << I(SCALE_BITS), (share >> I(9) & NINE) << I(SCALE_BITS), share >> I(18)
+
+    def place(self, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the ids ``back[:, 2:]`` (two earlier ones lead): places and widths, in parts of ``1 << TOTAL_BITS``, their states,
+        and which guesses were right (1 for order 1, 2 for order 2).
+        """
+        x, before = back[:, 2:], back[:, 1:-1]
+        one, two = self.one.take(before), self.two.take(self.context(before, back[:, :-2]))
+        guess1, guess2, state, part1, part2, factor = self.mix(one, two)
+        low, wide = self.low.take(x), self.wide.take(x)
+        low1, low2 = self.low.take(guess1), self.low.take(guess2)
+        right1, right2 = low1 == low, low2 == low
+        start = factor * low + part1 * (low1 < low) + part2 * (low2 < low)
+        width = factor * wide + part1 * right1 + part2 * right2
+        return start, width, state, right1 + (right2.view(np.int8) << np.int8(1))
+
+    def learn(self, back: np.ndarray, state: np.ndarray, right: np.ndarray, fresh: np.ndarray) -> None:
+        """Take in the ids ``back[:, 2:]`` (two earlier ones lead), with what :meth:`place` gave for them; ``fresh`` are
+        the ids to be counted.
+        """
+        self.count += np.bincount(fresh.ravel(), minlength=self.high)
+        self.right += np.bincount((state * 4 + right).ravel(), minlength=self.right.size).reshape(-1, 4)
+        x, before = back[:, 2:].astype(I), back[:, 1:-1]
+        for table, at in ((self.one, before), (self.two, self.context(before, back[:, :-2]))):
+            old = table.take(at)
+            guess, trust = old & GUESS, old >> I(16)
+            hit = guess == x
+            stays = hit | (trust >= THREE)  # a proven guess is given up at half its trust only
+            trust = np.where(hit, np.minimum(trust + I(1), I(TRUST - 1)), np.maximum(trust >> I(1), I(1)))
+            table[at] = np.where(stays, guess, x) | trust << I(16)  # of equal contexts the last counts
+        self.renew()
 
 
 def _renorm(low: np.ndarray, span: np.ndarray, i: np.ndarray) -> np.ndarray:
     """Move lanes ``i`` on by a word; returns their low ends before."""
-    a, b = low[i], span[i]
-    cross = (a ^ (a + b)) >= WORD
-    b[cross] = (~a[cross] + U(1)) & U(0xFFFFFFFF)
+    a, b = low.take(i), span.take(i)
+    cross = np.flatnonzero((a ^ (a + b)) >= WORD)
+    if len(cross):
+        b[cross] = (~a[cross] + U(1)) & U(0xFFFFFFFF)
     low[i], span[i] = a << HALF, b << HALF
     return a
 
 
-def encode_lanes(ids: np.ndarray) -> list[np.ndarray]:
-    """Words of every row of ``ids`` (lanes x n, of 16-bit values)."""
+def _led(ids: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Columns ``begin`` to ``end`` with the two before them; zeros lead a lane."""
+    lead = min(2, begin)
+    back = np.zeros((len(ids), end - begin + 2), np.int64)
+    back[:, 2 - lead :] = ids[:, begin - lead : end]
+    return back
+
+
+def encode_lanes(ids: np.ndarray, high: int = 1 << 16) -> list[np.ndarray]:
+    """Words of every row of ``ids`` (lanes x n, of values below ``high``)."""
     lanes, n = ids.shape
-    groups = [slice(g, min(g + GROUP, lanes)) for g in range(0, lanes, GROUP)]
-    models = [Model(g.stop - g.start) for g in groups]
-    where = np.zeros(min(GROUP, lanes) << 16, np.int32)
-    size = np.zeros_like(where)
+    model = Model(lanes, high)
     low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    out, pos = np.zeros((lanes, n + 4), np.uint32), np.zeros(lanes, np.int64)
-    r, s = np.empty(lanes, U), np.empty(lanes, U)
-    cut = borders(n)
+    part, cut = np.empty(lanes, U), borders(n)
+    words, owners = [], []
     for begin, end in zip(cut[:-1], cut[1:], strict=True):
-        k = end - begin
-        c1, f1, f2 = (np.empty((k, lanes), np.uint16) for _ in range(3))
-        c2, s2 = np.empty((k, lanes), np.uint16), np.empty((k, lanes), np.uint8)
-        for g, model in zip(groups, models, strict=True):
-            part = ids[g]
-            back = np.zeros((len(part), k + 2), np.int64)
-            lead = min(2, begin)
-            back[:, 2 - lead :] = part[:, begin - lead : end]
-            x, row = back[:, 2:], model.row
-            at1, at2 = model.contexts(back[:, 1:-1], back[:, :-2], row)
-            one, two = model.one.take(at1), model.two.take(at2)
-            state = (one != UNKNOWN) + 2 * (two != UNKNOWN)
-            first = np.where(two == x, 0, np.where(one == x, 1, 3))
-            a, w = x, np.ones_like(x)
-            if model.bits:
-                spot = (model.lane << 16) + model.value
-                where[spot], size[spot] = model.low, model.width
-                at = x + (row << 16)
-                seen = size.take(at)
-                own = (seen > 0) & (first == 3)
-                first[own] = 2
-                a, w = np.where(own, where.take(at), x), np.where(own, seen, 1)
-                size[spot] = 0
-            a = np.where(first < 2, 0, a)
-            key = (row * 4 + state) * 4 + first
-            c1[:, g], f1[:, g], c2[:, g], f2[:, g] = model.start.take(key).T, model.share.take(key).T, a.T, w.T
-            s2[:, g] = np.array([0, 0, model.bits, 16], np.uint8).take(first).T
-            model.learn(back, state, first, part[:, :end])
-        for t0 in range(0, k, STEP):
-            wide = [m[t0 : t0 + STEP].astype(U) for m in (c1, f1, s2, c2, f2)]
-            for a, f, shift, b, w in zip(*wide, strict=True):
-                np.right_shift(span, U(SHARE_BITS), out=r)
-                np.multiply(a, r, out=s)
-                low += s
-                r *= f
-                np.right_shift(r, shift, out=r)
-                np.multiply(b, r, out=s)
-                low += s
-                np.multiply(r, w, out=span)
-                i = np.flatnonzero(span < WORD)
-                if len(i):
-                    out[i, pos[i]] = _renorm(low, span, i) >> HALF
-                    pos[i] += 1
-    row = np.arange(lanes)
-    out[row, pos], out[row, pos + 1] = low >> HALF, low & U(0xFFFFFFFF)
-    return [out[i, : pos[i] + 2] for i in range(lanes)]
+        back = _led(ids, begin, end)
+        start, width, state, right = model.place(back)
+        for a, w in zip(start.T.astype(U), width.T.astype(U), strict=True):
+            span >>= U(TOTAL_BITS)
+            np.multiply(a, span, out=part)
+            low += part
+            span *= w
+            i = np.flatnonzero(span < WORD)
+            if len(i):
+                words.append((_renorm(low, span, i) >> HALF).astype(np.uint32))
+                owners.append(i.astype(np.uint16))
+        model.learn(back, state, right, back[:, 2:])
+    # the range holds a number that ends with zeros, so a word more tells it
+    words.append(((low + (WORD - U(1))) >> HALF).astype(np.uint32))
+    owner = np.concatenate([*owners, np.arange(lanes, dtype=np.uint16)])
+    order = np.argsort(owner, kind="stable")
+    return np.split(np.concatenate(words)[order], np.cumsum(np.bincount(owner, minlength=lanes))[:-1])
 
 
-def decode_lanes(words: list[np.ndarray], n: int) -> np.ndarray:
+def decode_lanes(words: list[np.ndarray], n: int, high: int = 1 << 16) -> np.ndarray:
     """Inverse of :func:`encode_lanes` for rows of ``n`` ids."""
     lanes = len(words)
-    width = max(map(len, words)) + 1
+    width = max(map(len, words)) + 2
     feed = np.zeros((lanes, width), np.uint32)
     for i, w in enumerate(words):
         feed[i, : len(w)] = w
     row = np.arange(lanes)
-    feed, pos = feed.ravel(), row * width
+    feed, pos, stop = feed.ravel(), row * width, (row + 1) * width - 1
     code = (feed[pos].astype(U) << HALF) | feed[pos + 1]
-    pos, stop = pos + 2, (row + 1) * width - 1
+    pos += 2
     low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    ids = np.zeros((lanes, n + 2), np.uint16)
-    model = Model(lanes)
-    before = np.zeros(lanes, np.int64)
-    mixed = before * 1021
-    lane_contexts, lane_states, mask = row * CONTEXTS, row * 4, CONTEXTS - 1
-    cut = borders(n)
-    # ``code`` is relative to the low end; indices of a sound stream are in bounds, those of a damaged one are clipped
+    model, cut = Model(lanes, high), borders(n)
+    ids = np.zeros((lanes, n), np.uint16)
+    before = before2 = np.zeros(lanes, np.int64)
+    most = U((1 << TOTAL_BITS) - 1)
+    cells = np.arange(1 << (SCALE_BITS - FINE)) + 1 << FINE
+    # ``code`` is relative to the low end; values of a sound stream are in bounds, those of a damaged one are clipped
     for begin, end in zip(cut[:-1], cut[1:], strict=True):
-        k = end - begin
-        states, firsts, found = np.empty((k, lanes), np.int64), np.empty((k, lanes), np.uint8), np.empty((k, lanes), np.uint16)
-        # prediction, start and share of every slot of the shares in one number
-        share = model.share.reshape(-1, 4)
-        packed = (np.arange(4) | model.start.reshape(-1, 4) << 2 | share << 11).astype(np.int32)
-        chosen = np.repeat(packed.ravel(), share.ravel())
-        bits = model.bits
-        shifts = np.array([0, 0, bits, 16], U)
-        if bits:
-            # value, low end and width of every slot of the sample in one number
-            run = model.value.astype(U) | (model.low.astype(U) << U(16)) | (model.width.astype(U) << HALF)
-            spots, lane_slots = np.repeat(run, model.n), row << bits
-        for t in range(k):
-            one = model.one.take((before & mask) + lane_contexts)
-            two = model.two.take(((before * 31 + mixed) & mask) + lane_contexts)
-            state = states[t]
-            np.add(lane_states, one != UNKNOWN, out=state)
-            state += (two != UNKNOWN).view(np.int8) << 1
-            r = span >> U(SHARE_BITS)
-            at = chosen.take((state << SHARE_BITS) + (code // r).view(np.int64), mode="clip")
-            first = at & 3
-            down = (at >> 2 & 511) * r.view(np.int64)
-            r *= (at >> 11).view(np.uint32)
-            r >>= shifts.take(first)
-            code -= down.view(U)
-            v = code // r
-            x = v.view(np.int64).copy()
-            span = r
-            if bits:
-                spot = spots.take(lane_slots + x, mode="clip")
-                sampled = first == 2
-                np.copyto(x, (spot & U(0xFFFF)).view(np.int64), where=sampled)
-                np.copyto(v, spot >> U(16) & U(0xFFFF), where=sampled)
-                span = r * np.where(sampled, spot >> HALF, U(1))
-            np.copyto(x, one, where=first == 1)
-            np.copyto(x, two, where=first == 0)
-            v *= r
-            code -= v
-            v += down.view(U)
-            low += v
+        lows, wides, starts = model.low, model.wide, model.start
+        # of every small cell of the scale the id that fills it; none where several share it
+        fill = np.zeros(len(cells) + 1, I)
+        fill[(starts[:-1] + (1 << FINE) - 1) >> FINE] = np.arange(len(starts) - 1)
+        np.maximum.accumulate(fill, out=fill)
+        fill = fill[:-1]
+        whole = starts.take(fill + 1, mode="clip") >= cells
+        fill = np.where(whole, model.seen.take(fill) if len(model.seen) else 0, -1).astype(I)
+        found = np.empty((end - begin, lanes), np.int64)
+        for t in range(end - begin):
+            guess1, guess2, _, part1, part2, factor = model.mix(model.one.take(before), model.two.take(model.context(before, before2)))
+            low1, low2 = lows.take(guess1), lows.take(guess2)
+            from1 = factor * low1 + part2 * (low2 < low1)
+            from2 = factor * low2 + part1 * (low1 < low2)
+            span >>= U(TOTAL_BITS)
+            v = np.minimum(code // span, most).astype(I)
+            past1, past2 = v >= from1 + factor * wides.take(guess1) + part1, v >= from2 + factor * wides.take(guess2) + part2
+            rest = ((v - part1 * past1 - part2 * past2) / factor).astype(np.int64)  # the floor of such a quotient is exact
+            x = fill.take(rest >> FINE, mode="clip")
+            np.copyto(x, guess1, where=(v >= from1) & ~past1)
+            np.copyto(x, guess2, where=(v >= from2) & ~past2)
+            i = np.flatnonzero(x < 0)
+            if len(i):
+                x[i] = model.find(rest.take(i))
+            at = lows.take(x)
+            down = (factor * at + part1 * (low1 < at) + part2 * (low2 < at)).astype(U)
+            down *= span
+            code -= down
+            low += down
+            span *= (factor * wides.take(x) + part1 * (low1 == at) + part2 * (low2 == at)).astype(U)
             i = np.flatnonzero(span < WORD)
             if len(i):
                 _renorm(low, span, i)
-                p = pos[i]
-                code[i] = (code[i] << HALF) | feed.take(np.minimum(p, stop[i]))
+                p = pos.take(i)
+                code[i] = (code.take(i) << HALF) | feed.take(np.minimum(p, stop.take(i)))
                 pos[i] = p + 1
-            found[t], firsts[t] = x, first
-            mixed = before * 1021
-            before = x & 0xFFFF
-        states -= lane_states
-        ids[:, begin + 2 : end + 2] = found.T
-        back = ids[:, begin : end + 2].astype(np.int64)
-        model.learn(back, states.T, firsts.T.astype(np.int64), ids[:, 2 : end + 2])
-    return ids[:, 2:]
+            found[t] = x
+            before2, before = before, found[t]
+        ids[:, begin:end] = found.T
+        back = _led(ids, begin, end)
+        _, _, state, right = model.place(back)
+        model.learn(back, state, right, back[:, 2:])
+    return ids
 
 
-def _parts(n: int) -> Iterator[tuple[int, int, int]]:
-    """Blocks of ``n`` ids as (first id, lanes, ids per lane): full blocks in groups, then the rest."""
-    full = n // BLOCK
-    for k in range(0, full, LANES):
-        yield k * BLOCK, min(LANES, full - k), BLOCK
-    if n % BLOCK:
-        yield full * BLOCK, 1, n % BLOCK
+def _parts(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """Blocks of ``n`` ids as (first id, ids, lanes, ids per lane); the last lane may be short."""
+    most = -(-n // max(1, -(-n // (LANES * BLOCK))))  # blocks of about one size
+    for first in range(0, n, max(1, most)):
+        size = min(most, n - first)
+        per = -(-size // min(LANES, max(1, size // LEAST_LANE)))
+        yield first, size, -(-size // per), per
 
 
 def encode_image(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -256,10 +276,12 @@ def encode_image(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray)
     out = [head, struct.pack("<I", zlib.crc32(head))]
     for plane in range(planes):
         values = ((ids >> np.uint32(16 * plane)) & np.uint32(0xFFFF)).astype("<u2")
-        for at, lanes, n in _parts(len(values)):
-            part = values[at : at + lanes * n].reshape(lanes, n)
-            for row, words in zip(part, encode_lanes(part), strict=True):
-                out += [struct.pack("<III", n, len(words), zlib.crc32(row.tobytes())), words.astype("<u4").tobytes()]
+        for at, size, lanes, per in _parts(len(values)):
+            part = values[at : at + size]
+            high = int(part.max()) + 1
+            words = encode_lanes(np.append(part, np.zeros(lanes * per - size, "<u2")).reshape(lanes, per), high)
+            out += [struct.pack("<III", size, high, zlib.crc32(part.tobytes())), np.fromiter(map(len, words), "<u2", lanes).tobytes()]
+            out.append(np.concatenate(words).astype("<u4").tobytes())
     return b"".join(out)
 
 
@@ -278,29 +300,27 @@ def decode_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     at += 4
     ids = np.zeros(n_ids, np.uint32)
     for plane in range(planes):
-        for first, lanes, n in _parts(n_ids):
-            words, crcs = [], []
-            for _ in range(lanes):
-                if at + 12 > len(image):
-                    raise ValueError("a token-id file ends too soon")
-                m, k, crc = struct.unpack_from("<III", image, at)
-                if m != n or at + 12 + 4 * k > len(image):
-                    raise ValueError("damaged block of a token-id file")
-                words.append(np.frombuffer(image, "<u4", k, at + 12))
-                crcs.append(crc)
-                at += 12 + 4 * k
-            part = decode_lanes(words, n)
-            for row, crc in zip(part, crcs, strict=True):
-                if zlib.crc32(row.astype("<u2").tobytes()) != crc:
-                    raise ValueError("damaged block of a token-id file")
-            ids[first : first + lanes * n] |= part.ravel().astype(np.uint32) << np.uint32(16 * plane)
+        for first, size, lanes, per in _parts(n_ids):
+            if at + 12 + 2 * lanes > len(image):
+                raise ValueError("a token-id file ends too soon")
+            m, high, crc = struct.unpack_from("<III", image, at)
+            n = np.frombuffer(image, "<u2", lanes, at + 12).astype(np.int64)
+            at += 12 + 2 * lanes
+            if m != size or not 0 < high <= 1 << 16 or at + 4 * int(n.sum()) > len(image):
+                raise ValueError("damaged block of a token-id file")
+            words = np.split(np.frombuffer(image, "<u4", int(n.sum()), at), np.cumsum(n)[:-1])
+            at += 4 * int(n.sum())
+            part = decode_lanes(words, per, high).ravel()[:size]
+            if zlib.crc32(part.astype("<u2").tobytes()) != crc:
+                raise ValueError("damaged block of a token-id file")
+            ids[first : first + size] |= part.astype(np.uint32) << np.uint32(16 * plane)
     return [None if f else int(d) for d, f in zip(numbers, flags, strict=True)], counts, ids
 
 
 def write_ids(docs: DataFrame, *, path: str, end: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """File images of the ids of all texts in ascending order of ``doc`` (null first, then by text), ``end`` after each.
 
-    Documents are range-partitioned; every range is a run of images of about ``LANES * BLOCK`` ids. The table has
+    Documents are range-partitioned; every range is a run of images of about ``IMAGE`` ids. The table has
     ``part``, ``seq`` (both ascending with the documents), ``n_ids`` and ``image``, and lies in the shared folder.
     """
 
@@ -319,7 +339,7 @@ def write_ids(docs: DataFrame, *, path: str, end: int, doc: str = "doc_id", text
             counts.append(count)
             ids.append(flat)
             n += len(flat)
-            if n >= LANES * BLOCK:
+            if n >= IMAGE:
                 yield image()
                 names, counts, ids, n, seq = [], [], [], 0, seq + 1
         if names:

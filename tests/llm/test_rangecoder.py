@@ -3,11 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import rangecoder as rc
-from tessera.llm.tokens import tokenizer_path
+from tessera.llm.tokens import WordCache, tokenizer_path, with_end
 
 PATH = tokenizer_path("word_bpe_49k.json")
 
@@ -38,6 +39,63 @@ def test_order_0_counts_all_ids_at_every_border():
         assert model.value.tolist() == sorted(ids[0, :end].tolist()) and (model.n == 1).all()
 
 
+@pytest.fixture(scope="module")
+def ids_of_documents():
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")
+    return with_end(*WordCache(PATH).encode([t or "" for t in rows["text"].to_pylist()]), 2)[0]
+
+
+class Order0(rc.Model):
+    """The model without contexts."""
+
+    def learn(self, *args):
+        super().learn(*args)
+        self.one[:] = self.two[:] = 0
+
+
+class Order1(rc.Model):
+    def learn(self, *args):
+        super().learn(*args)
+        self.two[:] = 0
+
+
+def test_bits_an_id_against_zlib_and_lower_orders(ids_of_documents, monkeypatch):
+    ids, bits = ids_of_documents, {}
+    for name, model in (("all", rc.Model), ("order 1", Order1), ("order 0", Order0)):
+        monkeypatch.setattr(rc, "Model", model)
+        image = rc.encode_image([1], np.array([len(ids)]), ids)
+        bits[name] = 8 * len(image) / len(ids)
+    raw = ids.astype("<u2").tobytes()
+    assert bits["all"] < 8.0 and 8 * len(zlib.compress(raw, 9)) / len(ids) > bits["all"] + 1
+    assert bits["order 1"] > bits["all"] + 0.1 and bits["order 0"] > bits["order 1"] + 0.1 and bits["order 0"] < 8.7
+
+
+def test_places_and_widths_are_a_distribution():
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.geometric(0.1, (6, 40)), 49).astype(np.uint16)
+    model = rc.Model(6, 50)
+    for begin, end in ((0, 1), (1, 2), (2, 10), (10, 40)):
+        for lane in range(6):  # every value after the same two ids
+            before = rc._led(ids[lane : lane + 1], begin, begin + 1)[:, :2]
+            start, width, _, _ = model.place(np.concatenate([np.repeat(before, 50, axis=0), np.arange(50)[:, None]], axis=1))
+            order = np.argsort(start.ravel())
+            assert (width > 0).all() and (np.diff(start.ravel()[order]) >= width.ravel()[order][:-1]).all()
+            assert start.min() >= 0 and (start + width).max() <= 1 << rc.TOTAL_BITS
+            assert width.sum() > 0.85 * (1 << rc.TOTAL_BITS)  # seen ids don't use their place among unseen ones
+        back = rc._led(ids, begin, end)
+        _, _, state, right = model.place(back)
+        model.learn(back, state, right, back[:, 2:])
+
+
+@pytest.mark.parametrize("n", [rc.LANES * rc.BLOCK - 1, rc.LANES * rc.BLOCK + 1, 512 * 3 + 1])
+def test_blocks_cover_all_ids(n):
+    at = 0
+    for first, size, lanes, per in rc._parts(n):
+        assert first == at and 0 < size <= rc.LANES * rc.BLOCK and lanes <= rc.LANES and (lanes - 1) * per < size <= lanes * per
+        at += size
+    assert at == n
+
+
 def test_damage_is_found():
     ids = np.random.default_rng(0).integers(0, 49408, 9000).astype(np.uint32)
     image = bytearray(rc.encode_image([1], np.array([9000]), ids))
