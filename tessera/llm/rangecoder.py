@@ -12,7 +12,8 @@ whether both name the same id. Order 0 leaves a rest of the scale, sized by the
 block hasn't held. Counts, contexts and weights are renewed at the ``borders``, where both sides know every lane up to there,
 so no step of a lane waits for another lane.
 
-All of it is in integers. The carry-less range coder has a 64-bit low end and range, and moves 32-bit words.
+All of it is in integers. The range coder has a 64-bit low end and range, and moves 32-bit words; a carry goes into the
+words that were sent.
 
 A file image (little-endian): the magic, u16 version, u16 planes, u32 documents, u64 ids, u32 bytes of the directory;
 the directory (zlib: i64 document ids, u8 null flags, u32 ids of each document); u32 CRC of all before; then per
@@ -39,12 +40,12 @@ MAGIC, VERSION = b"TSID", 3  # images of other tables can't be read
 BLOCK, LANES = 1024, 2048  # ids of a lane, lanes of a block
 IMAGE = 4 * LANES * BLOCK  # ids of an image, about
 LEAST_LANE = 512  # ids of a lane, where a block is too small for all lanes
-PERIOD = 8  # ids of a lane between borders
-SCALE_BITS, SHARE_BITS, TRUST, FINE = 22, 8, 8, 6
+PERIOD = 16  # ids of a lane between borders
+SCALE_BITS, SHARE_BITS, TRUST, FINE = 22, 8, 8, 7
 SCALE, TOTAL_BITS, SHARES = 1 << SCALE_BITS, SCALE_BITS + SHARE_BITS, 1 << SHARE_BITS
 U, I = np.uint64, np.int32
 WORD, HALF = U(1 << 32), U(32)
-GUESS, NINE, THREE = I(0xFFFF), I(511), I(3)
+GUESS, NINE, THREE, SIXTEEN, MOST = I(0xFFFF), I(511), I(3), I(16), I((TRUST - 1) << 16)
 
 
 def borders(n: int) -> list[int]:
@@ -113,7 +114,7 @@ class Model:
     def mix(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         """Both guesses, the state of trust in them, and the mixture: parts of orders 1 and 2, and a factor of order 0."""
         guess1, guess2 = one & GUESS, two & GUESS
-        state = ((one >> I(16)) * I(TRUST) + (two >> I(16))) * I(2) + (guess1 == guess2)
+        state = (one >> SIXTEEN) * I(2 * TRUST) + (two >> SIXTEEN) * I(2) + (guess1 == guess2)
         share = self.share.take(state)
         return guess1, guess2, state, (share & NINE) << I(SCALE_BITS), (share >> I(9) & NINE) << I(SCALE_BITS), share >> I(18)
 
@@ -132,32 +133,24 @@ class Model:
         return start, width, state, right1 + (right2.view(np.int8) << np.int8(1))
 
     def learn(self, back: np.ndarray, state: np.ndarray, right: np.ndarray, fresh: np.ndarray) -> None:
-        """Take in the ids ``back[:, 2:]`` (two earlier ones lead), with what :meth:`place` gave for them; ``fresh`` are
-        the ids to be counted.
+        """Take in the ids ``back[:, 2:]`` (two earlier ones lead) with their states and which guesses were right;
+        ``fresh`` are the ids to be counted.
         """
         self.count += np.bincount(fresh.ravel(), minlength=self.high)
-        self.right += np.bincount((state * 4 + right).ravel(), minlength=self.right.size).reshape(-1, 4)
+        self.right += np.bincount((state * I(4) + right).ravel(), minlength=self.right.size).reshape(-1, 4)
         x, before = back[:, 2:].astype(I), back[:, 1:-1]
         for table, at in ((self.one, before), (self.two, self.context(before, back[:, :-2]))):
             old = table.take(at)
-            guess, trust = old & GUESS, old >> I(16)
-            hit = guess == x
-            stays = hit | (trust >= THREE)  # a proven guess is given up at half its trust only
-            trust = np.where(hit, np.minimum(trust + I(1), I(TRUST - 1)), np.maximum(trust >> I(1), I(1)))
-            table[at] = np.where(stays, guess, x) | trust << I(16)  # of equal contexts the last counts
+            hit = (old & GUESS) == x
+            trust = old >> SIXTEEN
+            # a right guess gains trust; a proven one that fails is given up at half its trust only
+            kept = old - ((trust - (trust >> I(1))) << SIXTEEN)
+            new = np.where(trust >= THREE, kept, x | I(1 << 16))
+            np.copyto(new, np.minimum(old + I(1 << 16), MOST | (old & GUESS)), where=hit)
+            table[at] = new  # of equal contexts the last counts
         self.renew()
 
 
-def _renorm(low: np.ndarray, span: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Move lanes ``i`` on by a word; returns their low ends before."""
-    a, b = low.take(i), span.take(i)
-    cross = np.flatnonzero((a ^ (a + b)) >= WORD)
-    if len(cross):
-        b[cross] = (~a[cross] + U(1)) & U(0xFFFFFFFF)
-    low[i], span[i] = a << HALF, b << HALF
-    return a
-
-
 def _led(ids: np.ndarray, begin: int, end: int) -> np.ndarray:
     """Columns ``begin`` to ``end`` with the two before them; zeros lead a lane."""
     lead = min(2, begin)
@@ -166,13 +159,22 @@ def _led(ids: np.ndarray, begin: int, end: int) -> np.ndarray:
     return back
 
 
+def _carry(out: np.ndarray, pos: np.ndarray, lanes: np.ndarray) -> None:
+    """Add one to the words that lanes have sent so far."""
+    at = pos[lanes] - 1
+    while len(lanes):
+        out[at, lanes] += np.uint32(1)
+        on = out[at, lanes] == 0
+        lanes, at = lanes[on], at[on] - 1
+
+
 def encode_lanes(ids: np.ndarray, high: int = 1 << 16) -> list[np.ndarray]:
     """Words of every row of ``ids`` (lanes x n, of values below ``high``)."""
     lanes, n = ids.shape
     model = Model(lanes, high)
     low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
+    out, pos = np.zeros((n + 2, lanes), np.uint32), np.zeros(lanes, np.int64)
     part, cut = np.empty(lanes, U), borders(n)
-    words, owners = [], []
     for begin, end in zip(cut[:-1], cut[1:], strict=True):
         back = _led(ids, begin, end)
         start, width, state, right = model.place(back)
@@ -180,80 +182,83 @@ def encode_lanes(ids: np.ndarray, high: int = 1 << 16) -> list[np.ndarray]:
             span >>= U(TOTAL_BITS)
             np.multiply(a, span, out=part)
             low += part
+            over = np.flatnonzero(low < part)
+            if len(over):
+                _carry(out, pos, over)
             span *= w
             i = np.flatnonzero(span < WORD)
             if len(i):
-                words.append((_renorm(low, span, i) >> HALF).astype(np.uint32))
-                owners.append(i.astype(np.uint16))
+                p, down = pos.take(i), low.take(i)
+                out[p, i] = down >> HALF
+                pos[i], low[i], span[i] = p + 1, down << HALF, span.take(i) << HALF
         model.learn(back, state, right, back[:, 2:])
     # the range holds a number that ends with zeros, so a word more tells it
-    words.append(((low + (WORD - U(1))) >> HALF).astype(np.uint32))
-    owner = np.concatenate([*owners, np.arange(lanes, dtype=np.uint16)])
-    order = np.argsort(owner, kind="stable")
-    return np.split(np.concatenate(words)[order], np.cumsum(np.bincount(owner, minlength=lanes))[:-1])
+    low += WORD - U(1)
+    _carry(out, pos, np.flatnonzero(low < WORD - U(1)))
+    out[pos, np.arange(lanes)] = low >> HALF
+    return [column[: k + 1] for column, k in zip(np.ascontiguousarray(out.T), pos.tolist(), strict=True)]
 
 
 def decode_lanes(words: list[np.ndarray], n: int, high: int = 1 << 16) -> np.ndarray:
     """Inverse of :func:`encode_lanes` for rows of ``n`` ids."""
     lanes = len(words)
-    width = max(map(len, words)) + 2
-    feed = np.zeros((lanes, width), np.uint32)
+    feed = np.zeros((max(map(len, words)) + 2, lanes), np.uint32)
     for i, w in enumerate(words):
-        feed[i, : len(w)] = w
-    row = np.arange(lanes)
-    feed, pos, stop = feed.ravel(), row * width, (row + 1) * width - 1
-    code = (feed[pos].astype(U) << HALF) | feed[pos + 1]
-    pos += 2
-    low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
+        feed[: len(w), i] = w
+    code = (feed[0].astype(U) << HALF) | feed[1]
+    feed, pos, stop = feed.ravel(), np.arange(lanes) + 2 * lanes, feed.size - 1
+    span = np.full(lanes, 2**64 - 1, U)
     model, cut = Model(lanes, high), borders(n)
     ids = np.zeros((lanes, n), np.uint16)
     before = before2 = np.zeros(lanes, np.int64)
     most = U((1 << TOTAL_BITS) - 1)
-    cells = np.arange(1 << (SCALE_BITS - FINE)) + 1 << FINE
+    cells = (np.arange(1 << (SCALE_BITS - FINE), dtype=I) + I(1)) << I(FINE)
     # ``code`` is relative to the low end; values of a sound stream are in bounds, those of a damaged one are clipped
     for begin, end in zip(cut[:-1], cut[1:], strict=True):
-        lows, wides, starts = model.low, model.wide, model.start
+        lows, wides, starts = model.low, model.wide, model.start.astype(I)
         # of every small cell of the scale the id that fills it; none where several share it
         fill = np.zeros(len(cells) + 1, I)
-        fill[(starts[:-1] + (1 << FINE) - 1) >> FINE] = np.arange(len(starts) - 1)
-        np.maximum.accumulate(fill, out=fill)
-        fill = fill[:-1]
-        whole = starts.take(fill + 1, mode="clip") >= cells
-        fill = np.where(whole, model.seen.take(fill) if len(model.seen) else 0, -1).astype(I)
+        fill[(starts[:-1] + I((1 << FINE) - 1)) >> I(FINE)] = np.arange(len(starts) - 1)
+        fill = np.maximum.accumulate(fill[:-1])
+        lone = starts[1:].take(fill) >= cells if len(starts) > 1 else np.zeros(len(fill), bool)
+        fill = np.where(lone, model.seen.astype(I).take(fill), I(-1)) if len(starts) > 1 else np.full(len(fill), -1, I)
         found = np.empty((end - begin, lanes), np.int64)
+        states, rights = np.empty((end - begin, lanes), I), np.empty((end - begin, lanes), np.int8)
         for t in range(end - begin):
-            guess1, guess2, _, part1, part2, factor = model.mix(model.one.take(before), model.two.take(model.context(before, before2)))
-            low1, low2 = lows.take(guess1), lows.take(guess2)
+            one, two = model.one.take(before), model.two.take(model.context(before, before2))
+            guess1, guess2, states[t], part1, part2, factor = model.mix(one, two)
+            at1, at2 = guess1.astype(np.int64), guess2.astype(np.int64)
+            low1, low2 = lows.take(at1), lows.take(at2)
             from1 = factor * low1 + part2 * (low2 < low1)
             from2 = factor * low2 + part1 * (low1 < low2)
             span >>= U(TOTAL_BITS)
             v = np.minimum(code // span, most).astype(I)
-            past1, past2 = v >= from1 + factor * wides.take(guess1) + part1, v >= from2 + factor * wides.take(guess2) + part2
+            past1, past2 = v >= from1 + factor * wides.take(at1) + part1, v >= from2 + factor * wides.take(at2) + part2
             rest = ((v - part1 * past1 - part2 * past2) / factor).astype(np.int64)  # the floor of such a quotient is exact
             x = fill.take(rest >> FINE, mode="clip")
-            np.copyto(x, guess1, where=(v >= from1) & ~past1)
-            np.copyto(x, guess2, where=(v >= from2) & ~past2)
+            np.copyto(x, guess1, where=(v >= from1) > past1)
+            np.copyto(x, guess2, where=(v >= from2) > past2)
             i = np.flatnonzero(x < 0)
             if len(i):
                 x[i] = model.find(rest.take(i))
-            at = lows.take(x)
-            down = (factor * at + part1 * (low1 < at) + part2 * (low2 < at)).astype(U)
+            now = found[t]
+            now[:] = x
+            low = lows.take(now)
+            right1, right2 = low1 == low, low2 == low
+            np.add(right1, right2.view(np.int8) << np.int8(1), out=rights[t])
+            down = (factor * low + part1 * (low1 < low) + part2 * (low2 < low)).astype(U)
             down *= span
             code -= down
-            low += down
-            span *= (factor * wides.take(x) + part1 * (low1 == at) + part2 * (low2 == at)).astype(U)
+            span *= (factor * wides.take(now) + part1 * right1 + part2 * right2).astype(U)
             i = np.flatnonzero(span < WORD)
             if len(i):
-                _renorm(low, span, i)
                 p = pos.take(i)
-                code[i] = (code.take(i) << HALF) | feed.take(np.minimum(p, stop.take(i)))
-                pos[i] = p + 1
-            found[t] = x
-            before2, before = before, found[t]
+                code[i] = (code.take(i) << HALF) | feed.take(np.minimum(p, stop))
+                pos[i], span[i] = p + lanes, span.take(i) << HALF
+            before2, before = before, now
         ids[:, begin:end] = found.T
         back = _led(ids, begin, end)
-        _, _, state, right = model.place(back)
-        model.learn(back, state, right, back[:, 2:])
+        model.learn(back, states.T, rights.T, back[:, 2:])
     return ids
 
 
