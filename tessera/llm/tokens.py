@@ -25,6 +25,7 @@ CHUNK_BYTES = 4 << 20
 
 #: A word of this form is one or two units of the pre-tokenizer, each of which ends with an end-of-word id.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:#$%&*|]*)")
+MARKS = b",.!?;:#$%&*|"
 
 #: Byte-level models spell the bytes that aren't printable in Latin-1 as the characters from 256 on; a space stays here.
 UNPRINTABLE = [*range(33), *range(127, 161), 173]
@@ -68,15 +69,21 @@ class WordCache:
             part = unknown[k : k + (1 << 14)]
             plain, odd, tailed, pairs = [], [], [], []
             for w in part:
-                m = SIMPLE.fullmatch(w.decode())
-                if not m or not m[2] and m[1] != m[1].lower():
+                if w.isalpha() and w.islower():  # ASCII, the usual case; the same rule as below
+                    plain.append(w)
+                    continue
+                stem = w.rstrip(MARKS)
+                if not stem.isalpha():
+                    m = SIMPLE.fullmatch(w.decode())
+                    stem = m[1].encode() if m else b""
+                low = stem if stem.islower() and stem.isalpha() else stem.decode().lower().encode()
+                if not stem or len(stem) == len(w) and stem != low:
                     odd.append(w)
-                elif not m[2]:
+                elif len(stem) == len(w):
                     plain.append(w)
                 else:
-                    stem = m[1].lower() if self.folds else m[1]
                     tailed.append(w)
-                    pairs += (stem.encode(), m[2].encode())
+                    pairs += (low if self.folds else stem, w[len(stem) :])
             new = [w for w in dict.fromkeys(plain + pairs[::2]) if w not in self.index]
             marks = [w for w in dict.fromkeys(odd + pairs[1::2]) if w not in self.index]
             added += self.add(*self.code(new, marks))
