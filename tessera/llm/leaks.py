@@ -1,10 +1,11 @@
 """Benchmark decontamination with suffix arrays.
 
-Every Arrow batch of documents is a shard. Its words become numbers of the benchmark's vocabulary (0 for any
+Every Arrow batch of documents, in parts of ``SHARD`` bytes of text, is a shard. Its words become numbers of the benchmark's vocabulary (0 for any
 other word, and between documents), and the shard's suffix array holds the positions at which a window
-could begin, sorted by their next ``window`` words: a suffix that meets a foreign word sooner can't match and
-stays out. Every suffix of every test item is then binary-searched; pairs that can't be extended
-to the left are extended to the right, word by word, to the longest verbatim match.
+could begin, sorted by their next ``window`` words and then by the word before them: a suffix that meets a foreign word sooner can't
+match and stays out. Every suffix of every test item is then binary-searched. What goes on to the left is part of a longer match
+found there, so of a range only the suffixes with another word before them are taken, which are two ranges again; they
+are extended to the right, word by word, to the longest verbatim match. Pairs that are no longest match are never listed.
 
 The benchmark goes to the executors in blocks of at most ``block_bytes`` of text. One block is the usual case;
 a larger benchmark takes one pass over the documents per block, so nothing that is broadcast outgrows the bound.
@@ -25,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import list_array, map_texts, ragged, replace_column, table
+from tessera.llm.common import fresh_name, list_array, map_texts, ragged, replace_column, slices, table
 
 #: Bytes to bytes: ASCII capitals fall, digits and letters stay, other ASCII separates, the rest of UTF-8 stays.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
 )
 
+SHARD = 4 << 20
+
 MATCHES = T.ArrayType(
     T.StructType(
         [
@@ -81,15 +84,20 @@ class Tests:
         self.bits = max(1, len(self.vocab).bit_length())
         if len(starts):
             heads = self.flat[self.starts[:, None] + np.arange(window)]
-            inside = np.arange(window) < self.lengths[:, None]
-            self.low = self.keys(np.where(inside, heads, 0))
-            self.high = self.keys(np.where(inside, heads, (1 << self.bits) - 1))
+            inside, most = np.arange(window) < self.lengths[:, None], (1 << self.bits) - 1
+            left = self.flat[self.starts - 1]
+            key = lambda fill, last: self.keys(np.column_stack([np.where(inside, heads, fill), np.broadcast_to(last, len(heads))]))
+            self.low, self.high = key(0, 0), key(most, most)
+            # an item's beginning and a whole short item have nothing to their left: the ranges to leave out are empty
+            open_ = (left == 0) | (self.lengths < window)
+            self.same = np.where(open_, self.high, key(0, left))
+            self.open = open_
 
     def keys(self, heads: np.ndarray) -> np.ndarray:
-        """Rows of ``window`` word numbers as byte strings that sort like the rows."""
-        per = 63 // self.bits
-        packed = np.zeros((len(heads), -(-self.window // per)), np.uint64)
-        for k in range(self.window):
+        """Rows of word numbers as byte strings that sort like the rows."""
+        per, n = 63 // self.bits, heads.shape[1]
+        packed = np.zeros((len(heads), -(-n // per)), np.uint64)
+        for k in range(n):
             packed[:, k // per] |= heads[:, k].astype(np.uint64) << np.uint64(self.bits * (per - 1 - k % per))
         return np.ascontiguousarray(packed.astype(">u8")).view(f"V{8 * packed.shape[1]}").ravel().view(f"S{8 * packed.shape[1]}")
 
@@ -106,18 +114,18 @@ class Tests:
         suffixes = ragged(stop[runs] - room[runs], room[runs] - self.shortest + 1)
         if not len(suffixes):
             return none, none, none, none
-        keys = self.keys(docs[suffixes[:, None] + np.arange(self.window)])
+        left = np.where(suffixes > 0, docs[suffixes - 1], 0)
+        keys = self.keys(np.column_stack([docs[suffixes[:, None] + np.arange(self.window)], left]))
         order = np.argsort(keys, kind="stable")
         suffixes, keys = suffixes[order], keys[order]
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         found = np.flatnonzero(hi > lo)
-        at = suffixes[ragged(lo[found], (hi - lo)[found])]
-        test = np.repeat(found, (hi - lo)[found])
-        n, owner, item = self.lengths[test], self.owner[test], self.starts[test]
-        # what goes on to the left is part of a longer match found there
-        before = self.flat[item - 1]
-        leftmost = (before == 0) | (before != docs[at - 1]) | (at == 0) | (n < self.window)
-        at, item, n, owner = at[leftmost], item[leftmost], n[leftmost].copy(), owner[leftmost]
+        lo, hi, same = lo[found], hi[found], self.same[found]
+        begin = np.where(self.open[found], hi, np.searchsorted(keys, same, "left"))
+        end = np.where(self.open[found], hi, np.searchsorted(keys, same, "right"))
+        at = suffixes[np.concatenate([ragged(lo, begin - lo), ragged(end, hi - end)])]
+        test = np.concatenate([np.repeat(found, begin - lo), np.repeat(found, hi - end)])
+        n, owner, item = self.lengths[test].copy(), self.owner[test], self.starts[test]
         going = np.flatnonzero(n >= self.window)
         while len(going):
             a, b = docs[at[going] + n[going]], self.flat[item[going] + n[going]]
@@ -139,14 +147,14 @@ def blocks(benchmark: DataFrame, window: int, block_bytes: int, item: str, text:
     return [*out, Tests(items, window)]
 
 
-def _scan(tests: Broadcast, window: int, text: str, result: str, drop_text: bool):
+def _scan(tests: Broadcast, window: int, text: str, place: int, result: str, drop_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Tests = tests.value
         get = known.vocab.get
-        for batch in batches:
+        for batch in slices(batches, place, SHARD):
             rows, lengths = [], []
             gap = np.zeros(1, np.int32)
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+            for t in batch.column(place).to_pylist():
                 w = words(t)
                 lengths.append(len(w))
                 rows += [np.array([get(x, 0) for x in w], np.int32), gap]
@@ -204,7 +212,7 @@ def find_leaks(
         last = drop_text and k == len(found) - 1
         fields = [f for f in out.schema.fields if f.name != result and not (last and f.name == text)]
         schema = T.StructType([*fields, T.StructField(result, RESULT)])
-        out = map_texts(out, _scan(spark.sparkContext.broadcast(tests), window, text, result, last), schema)
+        out = map_texts(out, _scan(spark.sparkContext.broadcast(tests), window, text, out.columns.index(text), result, last), schema)
     return out
 
 
@@ -215,7 +223,7 @@ def item_ids(result: str = "leak"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 1, **options) -> DataFrame:
     """The documents that hold windows of fewer than ``min_items`` test items, with the columns of ``docs``."""
-    mark = "_leak_of_" + "_".join(docs.columns)[:40]
+    mark = fresh_name(docs, "_leak")
     return find_leaks(docs, benchmark, result=mark, **options).filter(F.size(item_ids(mark)) < min_items).select(*docs.columns)
 
 

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from tessera.llm import leaks
@@ -74,3 +76,13 @@ def test_edges_and_removal(spark, edge, make):
     assert kept.columns == edge.columns and kept.count() == edge.count() - 1
     assert leaks.find_leaks(make([]), b).count() == 0
     assert leaks.find_leaks(edge, b.limit(0)).filter("leak.n_hit > 0").count() == 0
+
+
+def test_repeats_take_room_for_longest_matches_only():
+    tests = leaks.Tests([("a", "x " * 500)], 8)
+    docs = np.concatenate([np.full(20_000, 1, np.int32), np.zeros(9, np.int32)])
+    tracemalloc.start()
+    at, item, n, _ = tests.search(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == 19_993 + 492 and n.max() == 500 and peak < 20e6
