@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_kept, keep, map_texts, slices, table, texts
+from tessera.llm.common import drop_kept, fresh_name, keep, map_texts, scratch, slices, table, texts
 
 SHINGLE, SEED, MOST = 3, 42, 3
 BLOCK = 4096
@@ -198,7 +198,7 @@ MOST_BROADCAST = 100_000
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Links ``(a, b)``, a < b, that connect the distinct fingerprints of ``classes`` as all linked pairs would."""
+    """Links ``(a, b)``, a < b, that connect the distinct fingerprints of ``classes`` as all linked pairs would: a kept table."""
     rows = classes.select("fp").mapInArrow(_keys, "key bigint, fp bigint")
     heavy = keep(rows.groupBy("key").count().filter(F.col("count") > BLOCK), "heavy")
     few = heavy.count() <= MOST_BROADCAST
@@ -208,7 +208,10 @@ def links(classes: DataFrame) -> DataFrame:
     # a row of block b is in the runs of all pairs of blocks with b
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own).cast("bigint") * F.col("blocks") + F.greatest(o, own))
     rows = rows.select("key", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(pair)).alias("pair"), "fp")
-    return rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links, "a bigint, b bigint").distinct()
+    found = rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links, "a bigint, b bigint").distinct()
+    out = keep(found, "edges")
+    drop_kept(heavy)
+    return out
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -221,16 +224,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         out = out.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-    return keep(out.filter(F.col("a") != F.col("b")).distinct(), "edges")
+    out = keep(out.filter(F.col("a") != F.col("b")).distinct(), "edges")
+    drop_kept(least)
+    return out
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """``(root, node)`` for every node with a link but the root, the smallest node of its component."""
-    edges, before = keep(edges, "edges"), None
+    """``(a, b)`` = (root, node) for every node with a link but the root, the smallest node of its component.
+
+    ``edges`` is a kept table, which is freed, and so is the result.
+    """
+    before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            return edges.select(F.col("a").alias("root"), F.col("b").alias("node"))
+            return edges
         before, wide = state, _star(edges, True)
         drop_kept(edges)
         edges = _star(wide, False)
@@ -244,25 +252,52 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
 
 
 def components(marks: DataFrame) -> DataFrame:
-    """Add ``component_id`` to rows with ``doc_id`` and ``fp``."""
+    """Add ``root``, the smallest fingerprint (as a bigint) of a row's component, and ``component_id`` to rows with ``doc_id`` and ``fp``."""
     classes = keep(marks.groupBy("fp").agg(F.min("doc_id").alias("lead")), "classes")
-    node = roots(links(classes)).select("root", F.col("node").alias("fp"))
+    edges = roots(links(classes))
+    node = edges.select(F.col("a").alias("root"), F.col("b").alias("fp"))
     placed = classes.join(node, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     first = placed.groupBy("root").agg(F.min("lead").alias("component_id"))
-    named = keep(placed.join(first, "root").select("fp", "component_id"), "components")
+    named = keep(placed.join(first, "root").select("fp", "root", "component_id"), "components")
+    drop_kept(classes)
+    drop_kept(edges)
     return marks.join(named, "fp")
 
 
+MOST_GONE = 500_000  # rows of 16 bytes that are broadcast at most
+
+
 def near_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest id, with the columns of ``docs``."""
-    placed = components(fingerprints(docs, doc, text))
-    lead = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = lead.groupBy("fp", "component_id", "doc_id").agg(F.min("text_hash").alias("text_hash"))
-    # an id that leads may come with several texts and fingerprints of one component: the smallest hash stays
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    on = F.col(doc).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    first = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
-    return docs.join(stay, on).withColumn("__n", first).filter("__n = 1").select(*docs.columns)
+    """One row of each component, that of the smallest id, with the columns of ``docs``.
+
+    Ids and hashes of the rows that go are the small side, so texts aren't shuffled while at most ``MOST_GONE`` go. Rows
+    equal in id and text that lead a component are merged into one; an id that leads with several texts keeps the one of the
+    smallest hash. One pass more over ``docs`` is made only where such equal rows exist.
+    """
+    with scratch() as made:
+        placed = keep(components(fingerprints(docs, doc, text)).select("doc_id", "text_hash", "component_id", "root"), "placed")
+        lead = F.col("doc_id").eqNullSafe(F.col("component_id"))
+        rows = placed.groupBy("doc_id", "text_hash", "root").agg(F.count(F.lit(1)).alias("n"), F.first(lead).alias("lead"))
+        # the id that leads a component may come with several texts of it; few rows lead, so no component is a hot key
+        leads = rows.filter("lead")
+        first = leads.groupBy("root").agg(F.min("text_hash").alias("first_hash"))
+        leads = leads.join(first, "root").withColumn("stays", F.col("first_hash") == F.col("text_hash"))
+        marked = leads.filter("not stays or n > 1").select("doc_id", "text_hash", "stays")
+        marked = marked.unionByName(rows.filter("not lead").select("doc_id", "text_hash", F.lit(False).alias("stays")))
+        id_name, hash_name = fresh_name(docs, "__id"), fresh_name(docs, "__hash")
+        key = [F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)]
+        gone = keep(marked.select(*key, "stays"), "gone")
+        n_gone, n_equal = gone.agg(F.count(F.lit(1)), F.count_if("stays")).first()
+        made.remove(gone)
+    on = F.col(doc).cast("bigint").eqNullSafe(F.col(id_name)) & (F.xxhash64(text) == F.col(hash_name))
+    small = F.broadcast if n_gone <= MOST_GONE else lambda df: df
+    out = docs.join(small(gone.select(id_name, hash_name)), on, "left_anti")
+    if n_equal:
+        equal = docs.join(small(gone.filter("stays").select(id_name, hash_name)), on)
+        whole = fresh_name(docs, "__row")
+        one = equal.groupBy(id_name, hash_name).agg(F.first(F.struct(*docs.columns)).alias(whole))
+        out = out.unionByName(one.select(*[F.col(whole)[c].alias(c) for c in docs.columns]))
+    return out
 
 
 def query(spark, sf_dir):
