@@ -7,7 +7,8 @@ a new sequence only where none does.
 
 All of that needs one number per length, so the plan is made from a histogram of at most ``capacity`` lengths in bulk
 steps, whatever the number of documents; pieces then find their place by their rank among pieces of their length.
-Ranks are taken in ``SALTS`` parts per length, dealt round robin, so one frequent length isn't one task.
+Every task numbers its own pieces of each length while it writes them; what other tasks have of a length before it is added from
+a table of counts per task and length, so no frequent length is gathered anywhere.
 
 Cases: a null text is empty and has the end id alone; repeated rows are packed like any others; an empty table gives
 an empty result; further columns of ``docs`` don't matter, only the named ones are read.
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, map_texts, slices, table, texts
+from tessera.llm.common import drop_kept, keep, map_texts, slices, table, texts
 from tessera.llm.tokens import tokenizer_path, with_end, word_cache
 
-SALTS = 64
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt int"
+MOST_COUNTS = 500_000  # counts of 16 bytes that are broadcast at most
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
 class Plan:
@@ -118,10 +120,14 @@ class Plan:
 
 
 def cut(docs: DataFrame, path: str, capacity: int, end: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece of a text's ids, with the ids' CRC and a salt."""
+    """One row per piece of a text's ids, with the ids' CRC, the task, and the piece's number among the task's of its length.
+
+    A lost task that runs again gives the same rows if its input comes in the same order, as that of files does; the table is kept,
+    so numbers are never taken from two runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, cache = 0, word_cache(path)
+        part, seen, cache = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), word_cache(path)
         for batch in slices(batches, 1):
             flat, counts = with_end(*cache.encode(texts(batch.column(1))), end)
             pieces = -(-counts // capacity)
@@ -132,14 +138,19 @@ def cut(docs: DataFrame, path: str, capacity: int, end: int, doc: str = "doc_id"
             at = (np.cumsum(counts) - counts)[owner] + start
             raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-            salt = (turn + np.arange(len(owner))) % SALTS
-            turn += len(owner)
+            order = np.argsort(length, kind="stable")
+            ranked = length[order]
+            run = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else order
+            size = np.diff(run, append=len(ranked))
+            nth = np.empty(len(owner), np.int64)
+            nth[order] = np.arange(len(owner)) - np.repeat(run, size) + seen[ranked]
+            seen[ranked[run]] += size
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
-                    pa.array(crc, pa.int64()), pa.array(salt.astype(np.int32)),
+                    pa.array(crc, pa.int64()), pa.array(np.full(len(owner), part, np.int32)), pa.array(nth),
                 ],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
             )
 
     return map_texts(docs.select(F.col(doc).cast("bigint"), text), run, PIECES)
@@ -149,20 +160,21 @@ def pack(docs: DataFrame, *, path: str, capacity: int = 2048, end: int = 0, doc:
     """Pieces of all texts with ``sequence_id`` and ``offset``; sequences hold at most ``capacity`` ids, without gaps."""
     spark = docs.sparkSession
     pieces = keep(cut(docs, path, capacity, end, doc, text), "pieces")
-    seen = pieces.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    for n, salt, rows in seen:
-        counts[n, salt] = rows
-    plan = Plan(counts.sum(axis=1), capacity)
-    before = np.cumsum(counts, axis=1) - counts
-    bases = [(int(n), int(s), int(before[n, s])) for n, s in zip(*np.nonzero(counts), strict=True)]
-    # both tables are bounded by the capacity, not by the data
-    base = F.broadcast(spark.createDataFrame(bases, "length bigint, salt int, _base bigint"))
+    # the number of the last piece tells how many a task has; a row for each task and length
+    tally = keep(pieces.groupBy("part", "length").agg((F.max("nth") + 1).alias("n")), "tally")
+    n_tally, counts = tally.count(), np.zeros(capacity + 1, np.int64)
+    for n, rows in tally.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
+        counts[n] = rows
+    plan = Plan(counts, capacity)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = keep(tally.select("part", "length", F.coalesce(before, F.lit(0)).alias("_base")), "base")  # a row per task in a window
+    drop_kept(tally)
     spot = "array<struct<low: bigint, high: bigint, first: bigint, each: bigint, offset: bigint>>"
+    # a length has one entry per gap size it was put into, and there are at most ``capacity`` of each
+    assert sum(map(len, plan.places.values())) <= capacity * 64
     places = F.broadcast(spark.createDataFrame(list(plan.places.items()), f"length bigint, _places {spot}"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = pieces.withColumn("_in", within).join(base, ["length", "salt"]).join(places, "length")
-    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_in") - 1)
+    ranked = pieces.join(F.broadcast(base) if n_tally <= MOST_COUNTS else base, ["part", "length"]).join(places, "length")
+    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("nth"))
     hit = F.filter("_places", lambda p: (F.col("_rank") >= p["low"]) & (F.col("_rank") < p["high"]))[0]
     out = ranked.withColumn("_at", hit).withColumn("_k", F.col("_rank") - F.col("_at.low"))
     return out.select(
