@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder of this machine serves.
+    Only where that is unset and all runs on this machine, as in tests, a temporary folder of it serves; on a cluster,
+    whose executors wouldn't see that folder, an unset one raises.
     """
     global _own
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"{master}: set spark.checkpoint.dir to a folder that driver and executors share")
     if _own is None:
         _own = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return _own
@@ -41,6 +47,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    for made in _scratch:
+        made.append(out)
     return out
 
 
@@ -52,6 +60,33 @@ def drop_kept(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that are kept inside are dropped at the end, but for those taken out of the list that is given.
+
+    What is lazily read from them has to be kept or collected inside.
+    """
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch[:] = [m for m in _scratch if m is not made]
+        for df in made:
+            drop_kept(df)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 MOST_ROWS = 2500
 
 

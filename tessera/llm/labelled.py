@@ -14,8 +14,10 @@ def fold(doc: str = "doc_id") -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """``doc_id``, ``text`` and ``label`` of at most ``bound`` labels outside fold 0, chosen by hash of the id.
 
-    The chosen labels are the ones broadcast, so their size is bounded by ``bound``.
+    The chosen labels are the ones broadcast, so their size is bounded by ``bound``. A label has one row: of several
+    texts with its id the one of the smallest hash.
     """
     usable = labels.filter(F.col(label).isin(0, 1) & (fold() != 0)).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")

@@ -5,7 +5,7 @@ leaves over the feature's bins) to the remaining residual; the trees of a featur
 pairs of features that explain most of what is left get two-dimensional tables the same way. A score is the
 logistic of a sum of table entries, so scoring is binning and adding.
 
-The model is fitted on the driver, on at most ``SAMPLE`` labelled rows; all documents are scored in one narrow pass.
+The model is fitted on the driver, on at most ``SAMPLE`` labels (20,000); all documents are scored in one narrow pass.
 
 Cases: null and empty texts have features of their own value and so a score; repeated rows are scored each; without
 labels of both kinds every score is the share of ones, or 0.5; an empty table gives an empty result; columns named like
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_texts, replace_column, table
+from tessera.llm.common import fresh_name, map_texts, replace_column, slices, table
 from tessera.llm.labelled import fold, labelled
 
 SAMPLE = 20_000
@@ -172,13 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     """Fit on at most ``bound`` labels outside fold 0; only features and labels reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, text, y = batch.columns
             values = pa.array([features(t) for t in text.to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([ids, values, y], ["doc_id", "x", "label"])
 
     rows = map_texts(labelled(docs, labels, label, bound), run, "doc_id bigint, x array<double>, label int")
-    got = rows.limit(2 * bound).collect()  # more rows than labels only where ids repeat
+    got = rows.collect()  # a row per label
     got.sort(key=lambda r: (r.doc_id, r.label, r.x))
     return Additive(np.array([r.x for r in got]).reshape(-1, len(NAMES)), np.array([r.label for r in got], np.float64))
 
@@ -188,10 +188,11 @@ def score(docs: DataFrame, model: Additive, text: str = "text", column: str = "s
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed number of bins
     out = docs.drop(column)
     fields = [f for f in out.schema.fields if not (drop_text and f.name == text)]
+    place = out.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+        for batch in slices(batches, place):
+            x = np.array([features(t) for t in batch.column(place).to_pylist()])
             batch = replace_column(batch, column, pa.array(sent.value.score(x.reshape(-1, len(NAMES)))))
             yield batch.drop_columns([text]) if drop_text else batch
 
@@ -200,7 +201,7 @@ def score(docs: DataFrame, model: Additive, text: str = "text", column: str = "s
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents that score ``least`` or more, with the columns of ``docs``."""
-    mark = "__quality"
+    mark = fresh_name(docs, "__quality")
     return score(docs, train(docs, labels), column=mark).filter(F.col(mark) >= least).select(*docs.columns)
 
 

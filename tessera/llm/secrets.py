@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import drop_kept, fresh_name, keep, table
 
 # The kinds and their patterns; the lengths are what is left of a match by the rule for its kind.
 KINDS = ["assign", "access", "hex", "random"]
@@ -131,13 +131,17 @@ def _pairs(strings: DataFrame) -> DataFrame:
     return chars.groupBy("pair").count()
 
 
-def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS) -> Column:
-    """Log-ratios of character pairs as an array literal, from a sample of at most ``sample`` documents chosen by hash."""
+def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS, doc: str = "doc_id") -> Column:
+    """Log-ratios of character pairs as an array literal, from a sample of at most ``sample`` documents, chosen by
+    the hash of id and text; no other column has a say.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(*docs.columns).alias("h"))
+    by = [c for c in (doc, text) if c in docs.columns]
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(*by).alias("h"))
     # hashes alone choose the sample, so that no task gathers texts of the others; repeated rows are cut by the limit
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = rows.filter(F.col("h") <= F.lit(last).cast("bigint")).limit(sample).withColumn("base", base_spans(F.col("text")))
+    rows = rows.filter(F.col("h") <= F.lit(last).cast("bigint")).limit(sample)
+    rows = kept = keep(rows.withColumn("base", base_spans(F.col("text"))), "sample")  # read twice below
     value = F.transform("base", lambda s: F.regexp_extract(F.substring("text", s["start"] + 1, s["end"] - s["start"]), "[A-Za-z0-9+/_.=-]+$", 0))
     digest = F.sha2(F.col("id").cast("string"), 256)
     coded = F.base64(F.unhex(digest))
@@ -148,6 +152,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS) -> Col
     joined = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.array(F.concat_ws("_", F.col("w")[i], F.col("w")[i + 1]), F.concat(F.col("w")[i], F.initcap(F.col("w")[i + 1]))))
     ordinary = words.filter(F.size("w") > 1).select(F.explode(F.concat("w", F.flatten(joined))).alias("s"))
     counts = {label: {r.pair: r["count"] for r in _pairs(s).collect()} for label, s in (("random", random), ("ordinary", ordinary))}
+    drop_kept(kept)
     logs = {}
     for label, seen in counts.items():  # Markov transitions with add-half smoothing over the token characters
         total = [0.0] * SYMBOLS
@@ -169,7 +174,7 @@ def find_secrets(docs: DataFrame, ratios: Column, *, text: str = "text", result:
 
 def redact(docs: DataFrame, ratios: Column, *, text: str = "text", mask: str = "[SECRET]", length: str | None = None) -> DataFrame:
     """Every span of every text replaced by ``mask`` (once where spans overlap); ``length`` is a column of characters to renew."""
-    mark = "__secrets"
+    mark = fresh_name(docs, "__secrets")
     found = find_secrets(docs, ratios, text=text, result=mark)
     body = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -5,9 +5,10 @@ beside it, the number of tokens on that path. Rules are those of the unigram mod
 Metaspace words and byte fallback: among equal scores the earliest start wins, a character that is no piece itself may
 be an unknown at the lowest score less ten, and an unknown counts one token per UTF-8 byte.
 
-Words are independent, so each distinct word is solved once per worker, in a bounded cache.
+Words are independent, so each distinct word is solved once per worker, in a cache of at most ``MAX_WORDS`` words of at most
+``LONGEST`` characters; longer ones are solved each time.
 
-Cases: a null or empty text has no tokens; repeated rows are counted each; an empty table gives an empty result; a
+Cases: a null or empty text has no tokens and no characters; repeated rows are counted each; an empty table gives an empty result; a
 column named like a result column is replaced.
 """
 
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_texts, replace_column, table
+from tessera.llm.common import map_texts, replace_column, slices, table
 from tessera.llm.tokens import tokenizer_path
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the unigram model
-MAX_WORDS = 1_000_000
+MAX_WORDS, LONGEST = 1_000_000, 64  # of the cache: words, and characters of one
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -88,9 +89,11 @@ class Counter:
         for w in words:
             got = known.get(w)
             if got is None:
-                if len(known) >= MAX_WORDS:
-                    known.clear()
-                got = known[w] = self.solve(SPACE + w)
+                got = self.solve(SPACE + w)
+                if len(w) <= LONGEST:
+                    if len(known) >= MAX_WORDS:
+                        known.clear()
+                    known[w] = got
             tokens += got[0]
             score += got[1]
         return tokens, score
@@ -109,12 +112,13 @@ def count_tokens(docs: DataFrame, *, path: str, text: str = "text", drop_text: b
     """Add ``n_tokens`` and ``best_score``; one narrow pass."""
     out = docs.drop("n_tokens", "best_score")
     fields = [f for f in out.schema.fields if not (drop_text and f.name == text)]
+    place = out.columns.index(text)
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("best_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for batch in batches:
-            got = [count(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        for batch in slices(batches, place):
+            got = [count(t) for t in batch.column(place).to_pylist()]
             batch = replace_column(batch, "n_tokens", pa.array(np.array([g[0] for g in got], np.int64)))
             batch = replace_column(batch, "best_score", pa.array(np.array([g[1] for g in got], np.float64)))
             yield batch.drop_columns([text]) if drop_text else batch
@@ -123,5 +127,5 @@ def count_tokens(docs: DataFrame, *, path: str, text: str = "text", drop_text: b
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"), "text")
     return count_tokens(docs, path=tokenizer_path("piece_bpe_32k.model"), drop_text=True)

@@ -1,11 +1,15 @@
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, leak string, n_tokens string, rank string"
+SCHEMA = (
+    "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, leak string, n_tokens string, rank string, "
+    "__id string, __hash string, __n string, __secrets string, __quality string, _leak string, score string, fp string, n_words string, "
+    "counts map<string, int>"
+)
 
 
 def with_extras(spark, rows):
     """Documents from (doc_id, text), with columns whose names clash with those the operators make."""
-    return spark.createDataFrame([(i, t, None, None, None if t is None else len(t), "s", "l", "n", "r") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, None, None if t is None else len(t), "s", "l", "n", "r", *"abcdefghi", {"x": 1}) for i, t in rows], SCHEMA)
 
 
 EDGE = [

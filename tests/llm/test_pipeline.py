@@ -2,12 +2,13 @@
 
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from tessera.llm import leaks, secrets
+from tessera.llm import common, leaks, secrets
 from tessera.llm.common import keep
 
 from test_leaks import brute as brute_leaks
@@ -79,6 +80,30 @@ def test_columns_and_run(spark, sf_dir, stages):
     assert key(cp.run(spark, sf_dir)) == key(stages[4])
 
 
+def test_only_the_tables_of_the_result_stay(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = cp.run(spark, sf_dir)
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["base", "pieces"] and out.count()
+
+
+def test_extra_columns_come_through_unchanged(spark, sf_dir, edge):
+    docs = edge
+    for _, stage in cp.STAGES[:3]:
+        docs = keep(stage(spark, docs, sf_dir), "stage")
+    extra = [c for c in edge.columns if c not in ("doc_id", "text", "n_chars")]
+    masked = cp.STAGES[3][1](spark, docs, sf_dir)
+    for df in (docs, masked):
+        assert df.dtypes == edge.dtypes and {str(r) for r in df.select(extra).collect()} == {str(r) for r in edge.select(extra).collect()}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    here = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="local[4]"))
+    assert common.shared_dir(here).startswith("file:") and common.shared_dir(spark)
+    here.sparkContext.master = "spark://far:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(here)
+
+
 def test_edges(spark, sf_dir, edge, make):
     for docs in (edge, make([])):
         for k, (_, stage) in enumerate(cp.STAGES):
