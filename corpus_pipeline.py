@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import leaks, packing, quality, secrets, simhash
-from tessera.llm.common import keep, table
+from tessera.llm.common import drop_kept, keep, scratch, table
 from tessera.llm.tokens import tokenizer_path
 
 
@@ -51,9 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row; a stage's tables are freed when the next one's documents are written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = keep(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch() as made:
+            after = keep(stage(spark, docs, sf_dir), f"stage{k}")
+            made.remove(after)
+        drop_kept(docs)
+        docs = after
+    with scratch() as made:
+        out = STAGES[-1][1](spark, docs, sf_dir)
+        made.clear()  # the result reads its tables later, and holds all that is left of the documents
+    drop_kept(docs)
+    return out
