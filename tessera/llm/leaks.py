@@ -236,3 +236,18 @@ def query(spark, sf_dir):
         "doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"),
         (n >= 2).alias("contaminated"),
     )
+
+
+#: DuckDB SQL for the rows of :func:`query`: all windows as strings, joined.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(8, len(w)) AS n, list_aggregate(w[i:i + 7], 'string_agg', ' ') AS s FROM b, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT k, i, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS s FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+hits AS (SELECT k, i, n, item_id FROM spots JOIN windows USING (n, s)),
+words AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT k, i, n FROM hits) AS h, unnest(range(i, i + n)) AS t(j) GROUP BY k),
+items AS (SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+"""

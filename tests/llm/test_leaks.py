@@ -5,10 +5,11 @@ import random
 import re
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import leaks
+from tessera.llm import catalog, leaks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -86,3 +87,11 @@ def test_repeats_take_room_for_longest_matches_only():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(at) == 19_993 + 492 and n.max() == 500 and peak < 20e6
+
+
+def test_query_against_its_sql(spark, sf_dir):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
+    got, want = leaks.query(spark, sf_dir), con.sql(catalog.oracle_sql()["op1_benchmark_decontamination"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
