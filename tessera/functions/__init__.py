@@ -8,6 +8,7 @@ from tessera.functions.aggregates import (
     minimum,
     shifted_sums,
     sum_exact,
+    sum_limbs,
 )
 from tessera.functions.scalar import (
     add,
@@ -31,5 +32,5 @@ from tessera.functions.scalar import (
 __all__ = [
     "add", "avg_int", "byte_length", "case_when", "const", "contains", "count_rows", "distinct_count", "int_div", "is_in",
     "maximum", "minimum", "minute_of", "mul", "negate", "not_contains", "regex_replace", "shifted_sums", "sub",
-    "sum_exact", "trunc_minute", "variable", "wide_div",
+    "sum_exact", "sum_limbs", "trunc_minute", "variable", "wide_div",
 ]

@@ -94,31 +94,30 @@ def hconcat(frames: Sequence[DataFrame], order: Sequence[Sequence[str]] | None =
     """
     if not frames:
         raise ValueError("hconcat needs at least one frame")
-    if order is None:
-        out = _exactly_one(frames[0], 0)
-        for i, frame in enumerate(frames[1:], 1):
-            out = out.join(_exactly_one(frame, i), "_row", "full_outer")
-        width = [f"_n{i}" for i in range(len(frames))]
-    else:
-        if len(order) != len(frames):
-            raise ValueError("hconcat needs sort keys for every frame")
-        out = None
-        width = [f"_n{i}" for i in range(len(frames))]
-        for i, (frame, keys) in enumerate(zip(frames, order, strict=True)):
-            # row_number() over one window partition is a global numbering; it serves short frames such as results
-            rank = F.row_number().over(Window.orderBy(*keys))
-            numbered = frame.withColumn("_row", rank).withColumn(width[i], F.lit(1))
-            out = numbered if out is None else out.join(numbered, "_row", "full_outer")
+    if order is not None and len(order) != len(frames):
+        raise ValueError("hconcat needs sort keys for every frame")
+    taken = {c.lower() for f in frames for c in f.columns}
+    number, *width = _fresh(taken, "row", *[f"n{i}" for i in range(len(frames))])
+    out = None
+    for i, frame in enumerate(frames):
+        # row_number() over one window partition is a global numbering: it serves short frames such as results, and a second row
+        # of a frame that should have one finds no partner elsewhere
+        rank = F.row_number().over(Window.orderBy(*(order[i] if order else [F.lit(1)])))
+        numbered = frame.withColumn(number, rank).withColumn(width[i], F.lit(1))
+        out = numbered if out is None else out.join(numbered, number, "full_outer")
     unequal = F.lit(False)
     for name in width:
         unequal = unequal | F.col(name).isNull()
     checked = out.filter(F.when(unequal, F.raise_error(F.lit("hconcat: frames differ in their number of rows")).cast("boolean")).otherwise(True))
-    return checked.drop("_row", *width)
+    return checked.drop(number, *width)
 
 
-def _exactly_one(df: DataFrame, i: int) -> DataFrame:
-    """Adds a row number that is 1 for the only row; a second row would find no partner elsewhere and raises."""
-    return df.withColumn("_row", F.row_number().over(Window.orderBy(F.lit(1)))).withColumn(f"_n{i}", F.lit(1))
+def _fresh(taken: set[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as none of ``taken`` has."""
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
 
 
 def values(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: StructType | str) -> DataFrame:

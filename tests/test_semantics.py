@@ -3,11 +3,12 @@
 import datetime as dt
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.cli.gen import generate
-from tessera.functions import avg_int, byte_length, distinct_count, int_div, minute_of, mul, regex_replace, shifted_sums, sum_exact, trunc_minute, variable, wide_div
+from tessera.functions import avg_int, byte_length, distinct_count, int_div, minute_of, mul, regex_replace, shifted_sums, sum_exact, sum_limbs, trunc_minute, variable, wide_div
 from tessera.operators import aggregate, filter_rows, global_aggregate, hconcat, top_k, values
 from tessera.streaming import drain
 
@@ -92,3 +93,33 @@ def test_operators_accept_a_bounded_stream(spark, tmp_path):
     stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
     out = drain(aggregate(filter_rows(stream, F.col("id") > 4), [], n=F.count(F.lit(1))), "drained", "complete")
     assert one(out) == (5,)
+
+
+def test_sum_of_limbs_is_exact(spark):
+    ends = [2**63 - 1, -(2**63), 5, -7, None, 2**63 - 1, 2**63 - 1]
+    df = values(spark, [(x,) for x in ends], "x bigint")
+    assert one(df.select(sum_limbs("x"))) == (Decimal(sum(x for x in ends if x is not None)),)
+    assert one(df.filter("x is null").select(sum_limbs("x"))) == (None,)
+
+
+def test_hconcat_keeps_columns_of_its_own_names(spark):
+    a, b = values(spark, [(1, 2)], "_row int, _n1 int"), values(spark, [(3,)], "__row int")
+    assert tuple(hconcat([a, b]).first()) == (1, 2, 3)
+
+
+def test_row_groups_are_skipped_by_their_statistics(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 400_000, numPartitions=1).selectExpr("id", "cast(id as string) as s").write.option("parquet.block.size", 256 << 10).parquet(path)
+    file = next((tmp_path / "t").glob("*.parquet"))
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 3 and meta.num_rows == 400_000
+    bounds = [meta.row_group(i).column(0).statistics for i in range(meta.num_row_groups)]
+    assert bounds[0].min == 0 and bounds[-1].max == 399_999 and all(a.max < b.min for a, b in zip(bounds, bounds[1:]))  # noqa: B905
+    df = spark.read.parquet(path).filter("id = 7")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().nonEmpty():
+        plan = plan.children().head()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    assert plan.metrics().get("numOutputRows").get().value() < 400_000
