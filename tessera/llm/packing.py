@@ -170,10 +170,11 @@ def pack(docs: DataFrame, *, path: str, capacity: int = 2048, end: int = 0, doc:
     base = keep(tally.select("part", "length", F.coalesce(before, F.lit(0)).alias("_base")), "base")  # a row per task in a window
     drop_kept(tally)
     spot = "array<struct<low: bigint, high: bigint, first: bigint, each: bigint, offset: bigint>>"
-    # a length has one entry per gap size it was put into, and there are at most ``capacity`` of each
-    assert sum(map(len, plan.places.values())) <= capacity * 64
-    places = F.broadcast(spark.createDataFrame(list(plan.places.items()), f"length bigint, _places {spot}"))
-    ranked = pieces.join(F.broadcast(base) if n_tally <= MOST_COUNTS else base, ["part", "length"]).join(places, "length")
+    # entries depend on the lengths that occur, not on the number of pieces; some 2,300 for 2,048 lengths
+    n_places = sum(map(len, plan.places.values()))
+    places = spark.createDataFrame(list(plan.places.items()), f"length bigint, _places {spot}")
+    small = lambda df, n: F.broadcast(df) if n <= MOST_COUNTS else df
+    ranked = pieces.join(small(base, n_tally), ["part", "length"]).join(small(places, n_places), "length")
     ranked = ranked.withColumn("_rank", F.col("_base") + F.col("nth"))
     hit = F.filter("_places", lambda p: (F.col("_rank") >= p["low"]) & (F.col("_rank") < p["high"]))[0]
     out = ranked.withColumn("_at", hit).withColumn("_k", F.col("_rank") - F.col("_at.low"))
