@@ -1,11 +1,11 @@
-"""Parquet to CSV: ``python -m tessera.cli.export --input DIR --output DIR``. An empty table exits with 1."""
+"""Parquet or row-group files to CSV: ``python -m tessera.cli.export --input DIR --output DIR``. An empty table exits with 1."""
 
 from __future__ import annotations
 
 import argparse
 
 from tessera.session import get_session
-from tessera.sources import write_csv
+from tessera.sources import read_rowgroups, write_csv
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -13,8 +13,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--parts", action="store_true", help="one file per partition instead of a single file")
+    p.add_argument("--format", choices=["parquet", "rowgroups"], default="parquet")
     a = p.parse_args(argv)
-    df = get_session("export").read.parquet(a.input)
+    spark = get_session("export")
+    df = read_rowgroups(spark, a.input) if a.format == "rowgroups" else spark.read.parquet(a.input)
     if df.isEmpty():
         return 1
     write_csv(df, a.output, single_file=not a.parts)

@@ -16,6 +16,7 @@ TUNING = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",  # zone maps of the row-group source
 }
 
 

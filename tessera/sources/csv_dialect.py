@@ -1,9 +1,9 @@
 """CSV in the engine's dialect: no header, doubled quotes and backslash escapes, any line end.
 
 Spark's own CSV parser leaves ``\\n`` undecoded, splits an unquoted ``a\\,b`` and mis-splits mixed line
-ends, so a file that holds a backslash, a carriage return or an empty line goes through
-:func:`parse_records` (one file per task, as quoted line breaks make the dialect unsplittable). Other
-files take the built-in reader.
+ends, so a file that holds a quote, a backslash, a carriage return or an empty line goes through
+:func:`parse_records`: small files whole, larger ones by ranges of bytes (:mod:`tessera.sources.csv_ranges`),
+which executors and driver open through ``pyarrow.fs``. Other files take the built-in reader.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.csv_ranges import RECORD, classes, pieces, range_effect
+from tessera.sources.store import open_store
 from tessera.sources.text import parse_date, parse_timestamp, to_text
 
 # What a backslash in front of these stands for; before others it is dropped.
@@ -91,37 +93,88 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, dialect: str = "auto") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, dialect: str = "auto", split_bytes: int = 64 << 20) -> DataFrame:
     """Read CSV with an explicit schema. A record of another width, or a bad value, raises.
 
     ``dialect``: ``full`` for the tokenizer, ``plain`` for Spark's splittable reader, ``auto`` to choose
-    by one scan of the lines. An empty field is the empty string.
+    by one scan of the lines. An empty field is the empty string. The tokenizer reads files of more than
+    ``split_bytes`` in ranges of that size, each a task of its own, after a first pass over them.
     """
     if dialect == "auto":
         lines = spark.read.option("lineSep", "\n").text(path)
         odd = F.col("value").contains("\\") | F.col("value").contains("\r") | (F.col("value") == "") | F.col("value").contains('"')
         dialect = "full" if lines.filter(odd).limit(1).count() else "plain"
-    width = len(schema.fields)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     if dialect == "plain":
         raw = spark.read.schema(text).csv(path, mode="FAILFAST", quote='"', escape='"')
         return _typed(raw.na.fill(""), schema)
+    files = spark.read.format("binaryFile").load(path)
+    large = files.filter(F.col("length") > split_bytes).select("path", "length").collect()
+    small = files.filter(F.col("length") <= split_bytes).select("path", "content").mapInPandas(_whole(text.names), text)
+    if not large:
+        return _typed(small, schema)
+    return _typed(small.unionByName(_ranges(spark, large, split_bytes).mapInPandas(_parts(text.names), text)), schema)
+
+
+def _rows(where: str, content: bytes, names: list[str]) -> Iterator[pd.DataFrame]:
+    rows: list[list[str]] = []
+    for k, row in enumerate(parse_records(content.decode("utf-8")), 1):
+        if len(row) != len(names):
+            raise ValueError(f"{where}: record {k} has {len(row)} fields, the schema {len(names)}")
+        rows.append(row)
+        if len(rows) == 65536:
+            yield pd.DataFrame(rows, columns=names)
+            rows = []
+    yield pd.DataFrame(rows, columns=names)
+
+
+def _whole(names: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield from _rows(path, bytes(content), names)
+
+    return run
+
+
+def _effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    table = classes(",", '"', "\\")
+    for batch in batches:
+        found = []
+        for path, begin, end in zip(batch["path"], batch["begin"], batch["end"], strict=True):
+            store, at = open_store(path)
+            with store.open_input_file(at) as f:
+                found.append(range_effect(f, begin, end, table))
+        yield batch.assign(effect=found)
+
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(names: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = classes(",", '"', "\\")
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows: list[list[str]] = []
-                for k, row in enumerate(parse_records(bytes(content).decode("utf-8")), 1):
-                    if len(row) != width:
-                        raise ValueError(f"{name}: record {k} has {len(row)} fields, the schema {width}")
-                    rows.append(row)
-                    if len(rows) == 65536:
-                        yield pd.DataFrame(rows, columns=text.names)
-                        rows = []
-                yield pd.DataFrame(rows, columns=text.names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return _typed(files.mapInPandas(records, text), schema)
+            for r in batch.itertuples(index=False):
+                store, at = open_store(r.path)
+                with store.open_input_file(at) as f:
+                    for place, content in pieces(f, r.begin, r.end, r.before, r.after, table):
+                        try:
+                            yield from _rows(r.path, content, names)
+                        except ValueError as e:
+                            raise ValueError(f"{r.path}, from byte {place}: {e}") from e
+
+    return run
+
+
+def _ranges(spark: SparkSession, files: list, size: int) -> DataFrame:
+    """Ranges of files with the parser's states at both ends; the driver holds one row a range."""
+    cuts = [(r.path, b, min(b + size, r.length)) for r in files for b in range(0, r.length, size)]
+    todo = spark.createDataFrame(cuts, "path string, begin long, end long").repartition(len(cuts))
+    done = todo.mapInPandas(_effects, "path string, begin long, end long, effect array<int>")
+    known, state = [], RECORD
+    for r in sorted(done.collect()):
+        before = RECORD if r.begin == 0 else state
+        state = r.effect[before]
+        known.append((r.path, r.begin, r.end, before, state))
+    return spark.createDataFrame(known, "path string, begin long, end long, before int, after int").repartition(len(cuts))
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

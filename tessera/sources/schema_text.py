@@ -33,15 +33,17 @@ def parse_schema(text: str) -> T.StructType:
     return T.StructType(fields)
 
 
+def kind_of(f: T.StructField) -> str:
+    """The type name of a column; a type without one raises."""
+    kind = "char" if f.metadata.get("char") else next((k for k, t in TYPES.items() if t == f.dataType and k != "char"), None)
+    if kind is None:
+        raise ValueError(f"column {f.name}: {f.dataType.simpleString()} has no name in schema text")
+    return kind
+
+
 def format_schema(schema: T.StructType) -> str:
     """Inverse of :func:`parse_schema`."""
-    lines = []
-    for f in schema.fields:
-        kind = "char" if f.metadata.get("char") else next((k for k, t in TYPES.items() if t == f.dataType and k != "char"), None)
-        if kind is None:
-            raise ValueError(f"column {f.name}: {f.dataType.simpleString()} has no name in schema text")
-        lines.append(f"{f.name},{kind}")
-    return "".join(f"{x}\n" for x in lines)
+    return "".join(f"{f.name},{kind_of(f)}\n" for f in schema.fields)
 
 
 def read_schema(spark: SparkSession, path: str) -> T.StructType:
