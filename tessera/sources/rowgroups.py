@@ -6,7 +6,8 @@ eight bytes. The footer: metadata as a string, its size with the length before i
 schema text, offsets and row counts of the groups, and a zone map (minimum and maximum by column) a group.
 
 A task reads whole row groups, together at most ``spark.sql.files.maxPartitionBytes`` or one group. Pushed
-comparisons leave out groups that their zone maps disprove; Spark still filters the rows. A Python source
+comparisons leave out groups that their zone maps disprove, where ``spark.sql.python.filterPushdown.enabled``
+is on, as this library's sessions have it; Spark still filters the rows. A Python source
 isn't told the columns of a query, so :func:`read_rowgroups` takes them, and only theirs are read. Paths
 are opened through ``pyarrow.fs``; executors and driver must both reach them.
 
@@ -294,17 +295,6 @@ class _Reader(DataSourceReader):
         self.path, self.file_schema, self.columns, self.part_bytes = path, schema, list(columns), part_bytes
         self.bounds: list[tuple[int, str, list]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            op = OPERATORS.get(type(f))
-            if op and len(f.attribute) == 1 and f.attribute[0] in self.file_schema.names:
-                k = self.file_schema.names.index(f.attribute[0])
-                kind = kind_of(self.file_schema.fields[k])
-                values = [_key(v, kind) for v in (f.value if op == "in" else [f.value])]
-                if values and None not in values:
-                    self.bounds.append((k, op, values))
-            yield f
-
     def _keeps(self, g: Group) -> bool:
         return all(k >= len(g.zones) or g.zones[k] is None or _may_hold(g.zones[k], op, vs) for k, op, vs in self.bounds)
 
@@ -347,6 +337,21 @@ class _Reader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays([_decode(k, raw, a, b, s) for k, raw, s in columns], names=self.columns)
 
 
+class _PushReader(_Reader):
+    """Spark refuses a reader with this method where its pushdown to Python sources is off."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            op = OPERATORS.get(type(f))
+            if op and len(f.attribute) == 1 and f.attribute[0] in self.file_schema.names:
+                k = self.file_schema.names.index(f.attribute[0])
+                kind = kind_of(self.file_schema.fields[k])
+                values = [_key(v, kind) for v in (f.value if op == "in" else [f.value])]
+                if values and None not in values:
+                    self.bounds.append((k, op, values))
+            yield f
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     name: str | None
@@ -434,7 +439,8 @@ class RowGroups(DataSource):
 
     def reader(self, schema: T.StructType) -> _Reader:
         found = self._file_schema()
-        return _Reader(self.options["path"], found, self._columns(found), int(self.options.get("partbytes", 128 << 20)))
+        kind = _PushReader if self.options.get("pushdown") == "true" else _Reader
+        return kind(self.options["path"], found, self._columns(found), int(self.options.get("partbytes", 128 << 20)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> _Writer:
         format_schema(schema)  # raises on a type without a name
@@ -449,6 +455,7 @@ def read_rowgroups(spark: SparkSession, path: str, columns: Sequence[str] | None
         spark.conf.get("spark.sql.files.maxPartitionBytes")
     )
     reader = spark.read.format("rowgroups").option("path", path).option("partbytes", size)
+    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled"))
     return (reader if columns is None else reader.option("columns", "\n".join(columns))).load()
 
 

@@ -102,7 +102,7 @@ def test_zone_maps_leave_out_groups(spark, tmp_path, condition, groups):
     write_rowgroups(df, str(tmp_path / "t"), rows=100)
     found = read_rowgroups(spark, str(tmp_path / "t")).filter(condition).withColumn("g", F.expr("d div 100"))
     assert {r.d for r in found.collect()} == {r.d for r in df.filter(condition).collect()}
-    source = RowGroups({"path": str(tmp_path / "t")})
+    source = RowGroups({"path": str(tmp_path / "t"), "pushdown": "true"})
     kept, reader = [], source.reader(source.schema())
     list(reader.pushFilters(_pushed(condition)))
     for p in reader.partitions():
@@ -138,6 +138,16 @@ def test_pushed_by_spark(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_sessions_without_pushdown(spark, tmp_path):
+    write_rowgroups(spark.range(1000).coalesce(1), str(tmp_path / "t"), rows=100)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        assert [r.id for r in read_rowgroups(spark, str(tmp_path / "t")).filter("id = 650").collect()] == [650]
+        assert spark.read.format("rowgroups").option("path", str(tmp_path / "t")).load().filter("id < 5").count() == 5
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 def test_damage_and_nulls_raise(spark, tmp_path):
     whole = by_hand()
     for name, data in [("magic", whole[:-1] + b"x"), ("short", whole[:10]), ("rows", q(3) + whole[8:]), ("size", whole[:24] + q(7) + whole[32:])]:
